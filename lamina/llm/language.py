@@ -176,6 +176,8 @@ class Model:
         table = np.zeros((len(self.keys) + 1, k), np.float32)
         for n in range(ORDERS + 1):
             own = of == n
+            if not own.any():
+                continue
             # each language counts as much, however much of it was labelled
             share = count[own] / np.maximum(1, count[own].sum(0))
             mean = share.mean(1, keepdims=True)

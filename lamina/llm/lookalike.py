@@ -16,11 +16,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .fold import visual_fold
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _visual_fold(text: pd.Series) -> pd.Series:
     return pd.Series([visual_fold(t) for t in text], dtype=object)
 

@@ -150,7 +150,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE n >= {DISTINCT_MIN_COUNT} AND n_records <= {DISTINCT_MAX_RECORDS}""",
         "p4_scores": f"""
             SELECT table_name, record_key, term, n, round((n - r * 1.0::DOUBLE * c / total) / sqrt(r * 1.0::DOUBLE * c / total)
-                   / sqrt((1 - r * 1.0::DOUBLE / total) * (1 - c * 1.0::DOUBLE / total)), 6) AS score
+                   / sqrt((1 - r * 1.0::DOUBLE / total) * (1 - c * 1.0::DOUBLE / total)), 6) + 0.0 AS score
             FROM ({every_term})""",
         "p5_found": f"""
             SELECT query_id, retriever, item_id, place FROM (
