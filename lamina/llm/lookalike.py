@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import cut
 from .fold import visual_fold
 
 
@@ -89,6 +90,7 @@ def look_alike_pairs(recs: DataFrame) -> DataFrame:
     members = class_members(recs).select(
         "table_name", F.xxhash64("canonical", F.length("canonical")).alias("cls"), F.xxhash64("text").alias("v"), "record_key"
     )
+    members = cut(members)  # read four times below; making it maps every text
     variants = members.select("table_name", "cls", "v").distinct()
     pairs = variants.alias("a").join(variants.alias("b"), ["table_name", "cls"]).where("a.v < b.v").select("table_name", "cls", F.col("a.v").alias("v"), F.col("b.v").alias("w"))
     left = pairs.join(members, ["table_name", "cls", "v"]).withColumnRenamed("record_key", "left_key")
