@@ -39,17 +39,40 @@ def _blocks(queries: DataFrame, dimension: int) -> Iterator[tuple[list[str], np.
         yield ids, np.array(rows, np.float64)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First k places of each row of ``scores``, ties to the lesser id: (rows x k) ids and scores."""
-    rounded = np.where(np.abs(scores) < SMALL, np.round(scores, SMALL_ROUND), np.round(scores, ROUND))
-    keep = min(k, scores.shape[1])
-    if keep < scores.shape[1]:  # everything above or equal to the k-th value takes part in the sort
-        limit = -np.partition(-rounded, keep - 1, axis=1)[:, keep - 1 : keep]
-        some = np.flatnonzero((rounded >= limit).any(0))
-        ids, scores, rounded = ids[some], scores[:, some], rounded[:, some]
-    by_id = np.argsort(ids, kind="stable")
-    order = by_id[np.argsort(-rounded[:, by_id], axis=1, kind="stable")][:, :keep]
-    return ids[order], np.take_along_axis(scores, order, 1)
+class _Best:
+    """The k best items of each of ``n`` queries so far; ties go to the lesser id."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.waiting = n, k, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: queries x ids. Of each row only what is not below its k-th value is kept."""
+        rounded = np.where(np.abs(scores) < SMALL, np.round(scores, SMALL_ROUND), np.round(scores, ROUND))
+        if scores.shape[1] > self.k:
+            limit = np.partition(rounded, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k, None]
+            row, col = np.nonzero(rounded >= limit)
+        else:
+            row, col = np.nonzero(np.ones_like(rounded, bool))
+        self.parts.append((row, scores[row, col], ids[col]))
+        self.waiting += len(row)
+        if self.waiting > 8 * self.n * self.k + 100_000:
+            self.parts = [self.result()]
+            self.waiting = len(self.parts[0][0])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, scores and ids, in order, at most k a query."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        row, score, ids = (np.concatenate(x) for x in zip(*self.parts))
+        rounded = np.where(np.abs(score) < SMALL, np.round(score, SMALL_ROUND), np.round(score, ROUND))
+        _, by_id = np.unique(ids, return_inverse=True)
+        order = np.lexsort((by_id, -rounded, row))
+        row = row[order]
+        first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        order, row = order[place < self.k], row[place < self.k]
+        return row, score[order], ids[order]
 
 
 def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder: Encoder | None = None) -> DataFrame:
@@ -67,24 +90,17 @@ def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, q = shared.value
-            best_ids, best = None, None
+            best = _Best(len(query_ids), k)
             for b in batches:
                 for i in range(0, b.num_rows, 4096):
                     part = b.slice(i, 4096)
                     rows = encoder.encode([t or "" for t in part.column(1).to_pylist()]).astype(np.float64) if encoder is not None else matrix(part.column(1))
-                    own = np.array(part.column(0).to_pylist(), dtype=object)
-                    found = [_best(own, row[None], k) for row in q @ rows.T]
-                    if best_ids is None:
-                        best_ids, best = [f[0][0] for f in found], [f[1][0] for f in found]
-                        continue
-                    for j, (fi, fs) in enumerate(found):
-                        mi, ms = _best(np.concatenate([best_ids[j], fi[0]]), np.concatenate([best[j], fs[0]])[None], k)
-                        best_ids[j], best[j] = mi[0], ms[0]
-            for j in range(len(query_ids) if best_ids is not None else 0):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query_ids[j]] * len(best_ids[j]), pa.string()), pa.array(best_ids[j].tolist(), pa.string()), pa.array(best[j], pa.float64())],
-                    names=["query_id", "item_id", "score"],
-                )
+                    best.add(np.array(part.column(0).to_pylist(), dtype=object), q @ rows.T)
+            row, score, ids = best.result()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query_ids, pa.string()).take(pa.array(row, pa.int64())), pa.array(ids.tolist(), pa.string()), pa.array(score, pa.float64())],
+                names=["query_id", "item_id", "score"],
+            )
 
         found = rows.mapInArrow(work, "query_id string, item_id string, score double")
         out = found if out is None else out.unionByName(found)

@@ -9,7 +9,7 @@ run, or a key beyond its end, is a missing target. A reference to a present key
 if the run's latest time lies after the key's earliest reference; those keys alone are looked up.
 
 Only distinct keys take part in the match; references are aggregated per key before any shuffle,
-and the few keys in question are joined back to their references over ``SALTS`` salts, so a
+and the few keys in question are joined back to their references over salts, so a
 key that holds a third of all references is no single task's burden.
 
 Keys compare after removing outer spaces and lower-casing; a null or then empty key is no
@@ -23,8 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
 BLOCK = 1 << 16
-SALTS = 16
 _PLACE = ["target_table", "family", "width", "block"]
 
 
@@ -96,9 +97,7 @@ def dangling_references(references: DataFrame, targets: DataFrame, deleted: Data
     maybe = matched.where("NOT run.deleted AND run.latest > earliest").select("target_table", "key", "earliest")
     late = maybe.join(keys.select("target_table", "key", F.col("time").alias("target_time")), ["target_table", "key"]).where("target_time > earliest")
     problems = sure.unionByName(late.select("target_table", "key", F.lit("late").alias("state"), "target_time"))
-    salted = problems.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = refs.withColumn("salt", F.pmod(F.xxhash64("ref_table", "ref_field", "ref_key"), F.lit(SALTS)).cast("int"))
-    found = rows.join(salted, ["target_table", "key", "salt"]).where("state <> 'late' OR target_time > ref_time")
+    found = salted_join(refs, problems, ["target_table", "key"], ["ref_table", "ref_field", "ref_key"]).where("state <> 'late' OR target_time > ref_time")
     return found.select("ref_table", "ref_field", "ref_key", "state", F.coalesce(F.date_format("ref_time", "yyyy-MM"), F.lit("unknown")).alias("ref_month"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import candidates, judgements, metrics
-from ..operators.encoders import Encoder
+from ..operators.encoders import Encoder, encode_items
+from ..operators.fingerprint import corpus_fingerprint, ordered_fingerprint
 from ..session import cut
-from ..sources.dataset import Dataset
+from ..sources.dataset import Dataset, document_texts, passage_texts
 from . import artifacts
 from .config import Config
 from .pipeline import encoders, hierarchical_search
@@ -89,9 +91,6 @@ def run(ds: Dataset, config: Config = Config(), profile: str = "memory", experim
 
 def preflight(ds: Dataset, config: Config, encoder: Encoder | None = None, sample: int = 1000, limit_hours: float = 10.0, strict: bool = False) -> dict[str, float]:
     """Estimate of encoding all passages from a timed sample: rows/s, hours, GiB of vectors."""
-    from ..operators.encoders import encode_items
-    from ..sources.dataset import passage_texts
-
     items = passage_texts(ds.passages, config.retrieval.passage_text)
     n, of_items = items.count(), encoders(config, encoder)[0]
     began = time.perf_counter()
@@ -103,5 +102,8 @@ def preflight(ds: Dataset, config: Config, encoder: Encoder | None = None, sampl
     return out
 
 
-def config_dict(config: Config) -> dict[str, Any]:
-    return asdict(config)
+def run_key(ds: Dataset, config: Config) -> str:
+    """Twelve hex digits that change with the configuration or any id or text of the corpus."""
+    texts = [document_texts(ds.documents, strategy="title_body"), passage_texts(ds.passages)]
+    parts = [json.dumps(asdict(config), sort_keys=True), *[json.dumps(corpus_fingerprint(t).first().asDict(), sort_keys=True) for t in texts]]
+    return ordered_fingerprint(parts)[:12]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25, candidates, dense, fusion
 from ..operators.encoders import Encoder, HashingEncoder, PrefixedEncoder, encode_items
 from ..operators.ranking import pad_to_k, ranked
+from ..operators.retrievers import CombinedRetriever, EncoderRetriever, HashingRetriever, Retriever, SparseRetriever
 from ..session import cut
 from ..sources.dataset import Dataset, document_texts, passage_texts
 from .config import Config
@@ -93,6 +94,42 @@ def rank_passages(ds: Dataset, config: Config, pairs: DataFrame, methods: Sequen
     return _union([base[m].select("document_method", F.lit(m).alias("passage_method"), "query_id", *RANKING) for m in methods])
 
 
+def build_retriever(method: str, config: Config, encoder: Encoder | None = None) -> Retriever:
+    """The retriever of a method: sparse, dense or combined."""
+    if method == "sparse":
+        return SparseRetriever()
+    if method == "dense":
+        of_items, _ = encoders(config, encoder)
+        if isinstance(of_items, HashingEncoder):
+            return HashingRetriever(of_items.dimension)
+        return EncoderRetriever(encoder, config.retrieval.dense_query_prefix, config.retrieval.dense_corpus_prefix)
+    if method == "combined":
+        parts = [build_retriever(m, config, encoder) for m in ("sparse", "dense")]
+        return CombinedRetriever(*parts, config.retrieval.fusion, config.retrieval.rrf_k)
+    raise ValueError(f"unknown method {method!r}: sparse, dense or combined")
+
+
+class TwoStagePipeline:
+    """Any two retrievers as document and passage stage."""
+
+    def __init__(self, document_retriever: Retriever, passage_retriever: Retriever, document_top_k: int = 20, passage_top_k: int = 100, document_text: str = "title_body", passage_text: str = "title_text"):
+        self.document_retriever, self.passage_retriever = document_retriever, passage_retriever
+        self.document_top_k, self.passage_top_k = document_top_k, passage_top_k
+        self.document_text, self.passage_text = document_text, passage_text
+
+    def fit(self, ds: Dataset) -> "TwoStagePipeline":
+        self.passages = ds.passages
+        self.document_retriever.fit(document_texts(ds.documents, ds.passages, self.document_text))
+        self.passage_retriever.fit(passage_texts(ds.passages, self.passage_text))
+        return self
+
+    def run(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Document and passage rankings of (query_id, text)."""
+        documents = cut(self.document_retriever.search(queries, self.document_top_k))
+        pairs = cut(candidates.expand_to_passages(documents, self.passages))
+        return documents, self.passage_retriever.search(queries, self.passage_top_k, pairs)
+
+
 def hierarchical_search(ds: Dataset, config: Config, experiments: Sequence[str], profile: str = "memory", encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Document rankings, candidate pairs and passage rankings; the last with ``experiment``."""
     if profile not in ("memory", "scalable"):

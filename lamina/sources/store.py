@@ -89,7 +89,8 @@ class DatasetStore:
 
     def _next(self, table: str) -> int:
         column = "seq" if table == "qrels" else "pos"
-        return (self._table(table).agg(F.max(column)).first()[0] or -1) + 1 if self._exists(table) else 0
+        last = self._table(table).agg(F.max(column)).first()[0]
+        return 0 if last is None else last + 1
 
     def add_documents(self, rows: DataFrame | Iterable[tuple]) -> None:
         """doc_id, title, text. Positions go on from those in the store; rows of a DataFrame
@@ -125,8 +126,7 @@ class DatasetStore:
         if self.finalized:
             raise RuntimeError("the store is finalized")
         for level in ("document", *(("passage",) if build_passage_index else ())):
-            tokens = bm25.tokenised(self.items(level).withColumnRenamed("search_text", "text"), bm25.FTS)
-            tokens.write.mode("overwrite").parquet(f"{self.path}/index_{level}")
+            bm25.write_index(self.items(level).withColumnRenamed("search_text", "text"), f"{self.path}/index_{level}", bm25.FTS)
         self._check()
         self._write_manifest(self.manifest | {"finalized": True, "index": ["document", *(["passage"] if build_passage_index else [])]})
         return self
@@ -199,7 +199,9 @@ class DatasetStore:
         self._level(level)
         if level not in self.manifest["index"]:
             raise RuntimeError(f"the store has no {level} index")
-        hits = bm25.scores(queries, self.items(level).withColumnRenamed("search_text", "text"), bm25.FTS, candidates)
+        hits = bm25.search_index(queries, f"{self.path}/index_{level}", bm25.FTS, candidates)
+        if hits is None:
+            hits = bm25.scores(queries, self.items(level).withColumnRenamed("search_text", "text"), bm25.FTS, candidates)
         return ranked(hits.select("query_id", "item_id", "score"), ["query_id"], k)
 
     def summary(self) -> dict[str, Any]:

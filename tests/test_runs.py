@@ -12,7 +12,8 @@ from lamina.operators import validate
 from lamina.operators.fingerprint import corpus_fingerprint, ordered_fingerprint
 from lamina.plans import benchmark
 from lamina.plans.config import EXPERIMENTS, Config, Retrieval, Run, from_mapping, load
-from lamina.plans.pipeline import hierarchical_search
+from lamina.operators.retrievers import CandidateSparseRetriever, CombinedRetriever, FullTextRetriever, HashingRetriever, SparseRetriever
+from lamina.plans.pipeline import TwoStagePipeline, build_retriever, hierarchical_search
 from lamina.sources import dataset as D
 from lamina.sources.store import DatasetStore
 from lamina.sources.vector_index import VectorIndex
@@ -134,6 +135,34 @@ def test_two_stages_on_synthetic_data(spark):
     assert got == {"q1": ["p1", "p2", "p3"], "q2": ["p4", "p1", "p2"]}
 
 
+def test_any_retrievers_as_stages(spark):
+    ds = D.synthetic(spark)
+    for method in ("sparse", "dense", "combined"):
+        pipe = TwoStagePipeline(build_retriever(method, SMALL), build_retriever(method, SMALL), 2, 3).fit(ds)
+        documents, passages = pipe.run(ds.queries)
+        _, _, want = hierarchical_search(ds, SMALL, [f"{method}__{method}"])
+        key = lambda r: (r.query_id, r.item_id, r["rank"], round(r.score, 9))
+        assert sorted(map(key, passages.collect())) == sorted(map(key, want.collect()))
+        assert documents.where("query_id = 'q1' AND rank = 1").first().item_id == "d1"
+    with pytest.raises(ValueError):
+        build_retriever("other", SMALL)
+
+
+def test_retrievers(spark):
+    items = spark.createDataFrame([("a", "capital paris france"), ("b", "mars phobos"), ("c", "ocean")], "item_id string, text string")
+    q = spark.createDataFrame([("q", "capital capital france")], "query_id string, text string")
+    pairs = spark.createDataFrame([("q", "a"), ("q", "c"), ("q", "zz"), ("q", "a")], "query_id string, item_id string")
+    order = lambda df: [r.item_id for r in df.orderBy("rank").collect()]
+    for r, all_, some in ((SparseRetriever(), ["a", "b"], ["a", "c"]), (HashingRetriever(64), ["a", "b"], ["a", "c"]), (FullTextRetriever(), ["a"], ["a"]), (CandidateSparseRetriever(), ["a"], ["a"])):
+        with pytest.raises(RuntimeError):
+            r.search(q, 2)
+        with pytest.raises(ValueError):
+            r.fit(items.limit(0))
+        assert order(r.fit(items).search(q, 2)) == all_ and order(r.search(q, 2, pairs)) == some
+    with pytest.raises(ValueError):
+        CombinedRetriever(SparseRetriever(), HashingRetriever(8), "sum")
+
+
 def test_whole_run_and_artifacts(spark, tmp_path):
     report = benchmark.run(D.synthetic(spark), SMALL, experiments=EXPERIMENTS, output=str(tmp_path))
     board = {r.experiment: r for r in report.leaderboard.collect()}
@@ -173,6 +202,14 @@ def test_preflight(spark):
         benchmark.preflight(D.synthetic(spark), SMALL, sample=2, limit_hours=0.0, strict=True)
 
 
+def test_run_key_follows_texts_and_configuration(spark):
+    ds = D.synthetic(spark)
+    key = benchmark.run_key(ds, SMALL)
+    assert len(key) == 12 and key == benchmark.run_key(D.synthetic(spark), SMALL) != benchmark.run_key(ds, Config())
+    ds.documents = ds.documents.replace("Genome", "Genom", "title")
+    assert benchmark.run_key(ds, SMALL) != key
+
+
 def test_fingerprints(spark):
     a = spark.createDataFrame([("1", "x"), ("2", None)], "item_id string, text string")
     assert corpus_fingerprint(a).first() == corpus_fingerprint(a.orderBy("item_id", ascending=False)).first()
