@@ -23,6 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted_join
 from .topn import best_by_item, bounded_heap
 
 _PERCENTILE_ACCURACY = 10_000
@@ -46,7 +47,7 @@ def ideal_point_ranking(df: DataFrame, group: str, source: str, item: str, score
     """group, item_id, closeness (double), firsts (bigint): one row for each group and item."""
     best = best_by_item(df, [group, source], item, score)
     bounds = source_bounds(best, group, source)
-    clipped = best.join(bounds, [group, source]).withColumn("x", F.greatest("lo", F.least("hi", "score")) - F.col("lo"))
+    clipped = salted_join(best, bounds, [group, source], ["item_id"]).withColumn("x", F.greatest("lo", F.least("hi", "score")) - F.col("lo"))
     norms = clipped.groupBy(group, source).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
@@ -57,7 +58,7 @@ def ideal_point_ranking(df: DataFrame, group: str, source: str, item: str, score
     )
     span = (F.col("hi") - F.col("lo")) * F.col("scale")
     full = scaled.groupBy(group).agg(F.sum(span * span).alias("full"))
-    rows = best.join(scaled, [group, source]).select(
+    rows = salted_join(best, scaled, [group, source], ["item_id"]).select(
         group, "item_id",
         (F.greatest("lo", F.least("hi", "score")) - F.col("lo")).alias("x"),
         "scale", span.alias("span"), (F.col("score") >= F.col("top")).cast("bigint").alias("first"),
@@ -70,7 +71,7 @@ def ideal_point_ranking(df: DataFrame, group: str, source: str, item: str, score
     )
     anti, ideal = F.sqrt("anti2"), F.sqrt(F.greatest(F.lit(0.0), F.col("full") + F.col("gap2")))
     near = F.when(anti + ideal > 0, anti / (anti + ideal)).otherwise(0.5)
-    return items.join(full, group).select(group, "item_id", F.round(near, 9).alias("closeness"), "firsts")
+    return salted_join(items, full, [group], ["item_id"]).select(group, "item_id", F.round(near, 9).alias("closeness"), "firsts")
 
 
 def first_of_ranking(ranking: DataFrame, group: str) -> DataFrame:

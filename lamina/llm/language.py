@@ -57,7 +57,10 @@ ja jpn jpn japanese
 """
 NO_LABEL = ("", "und", "unknown")
 
+_TEXT = "text that is read"
 _WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that are no digits (fractions, superscripts, ...): word characters, but no letters.
+_NUMBER = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]+")
 _TAG = re.compile(r"<[^<>\n]{0,200}>|&#?\w{1,10};")
 _CODE = re.compile(r"\w*\d[\w-]*|https?://\S+|\S+@\S+")
 
@@ -217,6 +220,8 @@ def infer(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, in
     lines: list[tuple[int, int, int, int]] = []  # text, number, letters, words
     for d, text in enumerate(texts):
         for no, line in enumerate((text or "").split("\n"), 1):
+            if not line.isascii():
+                line = _NUMBER.sub(" ", line)
             found = _WORD.findall(line)
             if not found:
                 continue
@@ -279,7 +284,7 @@ def line_languages(docs: DataFrame, key: str, text: str, label: str, model: Mode
     """For each document with letters: ``line_no`` 0 for the whole and one row for each line
     with letters. Columns: key, line_no, lang, confidence, n_langs (languages of the
     document's lines), named (language of the label or null)."""
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("t"), label_language(F.col(f"`{label}`")).alias("named")).where(f"`{key}` IS NOT NULL AND t IS NOT NULL AND t <> ''")
+    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(_TEXT), label_language(F.col(f"`{label}`")).alias("named")).where(f"`{key}` IS NOT NULL AND `{_TEXT}` <> ''")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the training rows only, which are bounded
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

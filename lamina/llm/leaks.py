@@ -32,6 +32,7 @@ MIN_WORDS = 12
 SHARD_WORDS = 1_000_000
 BLOCK_WORDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
+_TEXT = "text that is read"
 
 
 def words(text: str | None) -> list[str]:
@@ -173,13 +174,15 @@ def _blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator
 
 def verbatim_matches(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc key, item key (bigint), n_words, doc_word, item_word: the longest verbatim match of
-    each document and item, if of at least ``min_words`` words; places count words from 0."""
+    each document and item, if of at least ``min_words`` words; places count words from 0. If both
+    keys have one name, the item's is prefixed with ``item_``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{doc_key}`").alias(doc_key), F.col(f"`{doc_text}`").alias("t")).where(f"`{doc_key}` IS NOT NULL AND t IS NOT NULL AND t <> ''")
+    own_key, item_key = item_key, item_key if item_key != doc_key else f"item_{item_key}"
+    rows = docs.select(F.col(f"`{doc_key}`").alias(doc_key), F.col(f"`{doc_text}`").alias(_TEXT)).where(f"`{doc_key}` IS NOT NULL AND `{_TEXT}` <> ''")
     kind = dict(rows.dtypes)[doc_key]
     schema = f"`{doc_key}` {kind}, `{item_key}` bigint, n_words bigint, doc_word bigint, item_word bigint"
     out = None
-    for block in _blocks(items, item_key, item_text, block_words):
+    for block in _blocks(items, own_key, item_text, block_words):
         shared = spark.sparkContext.broadcast(test_stream(block))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -18,9 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.skew import salted_join
 from ..session import cut
 from .fold import visual_fold
 
+#: A class's rows are spread over so many tasks where they are joined; its classes and pairs are repeated so often.
+SALTS = 8
+
 
 @F.pandas_udf(StringType())
 def _visual_fold(text: pd.Series) -> pd.Series:
@@ -61,11 +65,13 @@ def class_members(recs: DataFrame) -> DataFrame:
     return recs.sparkSession.sql(
         """
         SELECT DISTINCT r.table_name, r.record_key, r.text, c.canonical
-        FROM {recs} r JOIN {classes} c
+        FROM {recs} r JOIN (SELECT *, explode(sequence(0, {salts} - 1)) AS salt FROM {classes}) c
           ON r.table_name = c.table_name AND collate(r.shape, 'UNICODE') = c.class_shape
+             AND pmod(xxhash64(r.record_key), {salts}) = c.salt
         """,
         recs=mapped(recs),
         classes=look_alike_classes(recs),
+        salts=SALTS,
     )
 
 
@@ -93,9 +99,9 @@ def look_alike_pairs(recs: DataFrame) -> DataFrame:
     members = cut(members)  # read four times below; making it maps every text
     variants = members.select("table_name", "cls", "v").distinct()
     pairs = variants.alias("a").join(variants.alias("b"), ["table_name", "cls"]).where("a.v < b.v").select("table_name", "cls", F.col("a.v").alias("v"), F.col("b.v").alias("w"))
-    left = pairs.join(members, ["table_name", "cls", "v"]).withColumnRenamed("record_key", "left_key")
+    left = salted_join(members, pairs, ["table_name", "cls", "v"], ["record_key"], salts=SALTS).withColumnRenamed("record_key", "left_key")
     right = members.withColumnsRenamed({"v": "w", "record_key": "right_key"})
-    both = left.join(right, ["table_name", "cls", "w"]).where("left_key <> right_key")
+    both = salted_join(right, left, ["table_name", "cls", "w"], ["right_key"], salts=SALTS).where("left_key <> right_key")
     return both.select(
         "table_name",
         F.least("left_key", "right_key").alias("key_a"),

@@ -49,6 +49,12 @@ def test_twelve_words_in_odd_characters(spark):
     assert [r.doc_id for r in L.remove_affected(docs, "doc_id", found).collect()] == [2]
 
 
+def test_both_keys_of_one_name(spark):
+    df = spark.createDataFrame([(1, "a b c", "x")], "id long, text string, t string")
+    assert L.verbatim_matches(df, "id", "text", df, "id", "text", 2).columns[:2] == ["id", "item_id"]
+    assert L.verbatim_matches(df, "id", "text", df, "id", "text", 2).count() == 1
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
