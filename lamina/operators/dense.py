@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .encoders import Encoder, matrix
-from .ranking import ROUND, SMALL, SMALL_ROUND, ranked
+from .ranking import ranked
+from .topk import BestK
 
 #: Bytes of query vectors broadcast at a time.
 BLOCK_BYTES = 64 << 20
@@ -39,42 +41,6 @@ def _blocks(queries: DataFrame, dimension: int) -> Iterator[tuple[list[str], np.
         yield ids, np.array(rows, np.float64)
 
 
-class _Best:
-    """The k best items of each of ``n`` queries so far; ties go to the lesser id."""
-
-    def __init__(self, n: int, k: int):
-        self.n, self.k, self.waiting = n, k, 0
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores``: queries x ids. Of each row only what is not below its k-th value is kept."""
-        rounded = np.where(np.abs(scores) < SMALL, np.round(scores, SMALL_ROUND), np.round(scores, ROUND))
-        if scores.shape[1] > self.k:
-            limit = np.partition(rounded, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k, None]
-            row, col = np.nonzero(rounded >= limit)
-        else:
-            row, col = np.nonzero(np.ones_like(rounded, bool))
-        self.parts.append((row, scores[row, col], ids[col]))
-        self.waiting += len(row)
-        if self.waiting > 8 * self.n * self.k + 100_000:
-            self.parts = [self.result()]
-            self.waiting = len(self.parts[0][0])
-
-    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query numbers, scores and ids, in order, at most k a query."""
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
-        row, score, ids = (np.concatenate(x) for x in zip(*self.parts))
-        rounded = np.where(np.abs(score) < SMALL, np.round(score, SMALL_ROUND), np.round(score, ROUND))
-        _, by_id = np.unique(ids, return_inverse=True)
-        order = np.lexsort((by_id, -rounded, row))
-        row = row[order]
-        first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-        order, row = order[place < self.k], row[place < self.k]
-        return row, score[order], ids[order]
-
-
 def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder: Encoder | None = None) -> DataFrame:
     """query_id, item_id, score, rank: the k nearest items of every query.
 
@@ -82,7 +48,7 @@ def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder
     item_id and text, which is then encoded in the task that scans it."""
     source = "text" if encoder is not None else "embedding"
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), source).where("item_id IS NOT NULL" + ("" if encoder is not None else " AND embedding IS NOT NULL"))
-    spark, out = items.sparkSession, None
+    rows, spark, out = spread(rows), items.sparkSession, None
     if k <= 0:
         return spark.createDataFrame([], "query_id string, item_id string, score double, rank int")
     for ids, vectors in _blocks(queries, dimension):
@@ -90,7 +56,7 @@ def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, q = shared.value
-            best = _Best(len(query_ids), k)
+            best = BestK(len(query_ids), k)
             for b in batches:
                 for i in range(0, b.num_rows, 4096):
                     part = b.slice(i, 4096)

@@ -28,10 +28,9 @@ def ranked(df: DataFrame, groups: Sequence[str], k: int, order: Sequence[Column]
 
 
 def pad_to_k(hits: DataFrame, groups: DataFrame, group: str, items: DataFrame, k: int) -> DataFrame:
-    """``hits`` (group, item_id, score), and for groups with fewer than k hits further items with
-    score 0 in item order. The k least item_ids always suffice, so the padding is bounded by k."""
+    """``hits`` (group, item_id, positive score) and further items with score 0 in item order, for
+    lists that must be k long. The k least item_ids always suffice, so the padding is bounded by
+    k a group; ``hits`` is read once."""
     pool = items.select("item_id").orderBy("item_id").limit(max(0, k)).agg(F.sort_array(F.collect_list("item_id")).alias("pool"))
-    few = groups.select(group).join(hits.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group, "left").where(F.coalesce("n", F.lit(0)) < k)
-    extra = few.select(group, F.explode(pool.scalar()).alias("item_id"))
-    extra = extra.join(hits.select(group, "item_id"), [group, "item_id"], "left_anti")
-    return hits.select(group, "item_id", "score").unionByName(extra.withColumn("score", F.lit(0.0)))
+    extra = groups.select(group, F.explode(pool.scalar()).alias("item_id"), F.lit(0.0).alias("score"))
+    return hits.select(group, "item_id", "score").unionByName(extra).groupBy(group, "item_id").agg(F.max("score").alias("score"))

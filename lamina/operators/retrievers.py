@@ -50,8 +50,7 @@ class SparseRetriever(_Fitted):
 
     def search(self, queries: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
         if candidates is None:
-            hits = ranked(bm25.scores(queries, self.items, self.profile), ["query_id"], k)
-            hits = pad_to_k(hits, queries, "query_id", self.items, k)
+            hits = pad_to_k(bm25.search(queries, self.items, k, self.profile), queries, "query_id", self.items, k)
         else:
             pairs = self.known(candidates)
             hits = pairs.join(bm25.scores(queries, self.items, self.profile, pairs), ["query_id", "item_id"], "left").fillna(0.0, ["score"])
@@ -73,6 +72,8 @@ class FullTextRetriever(_Fitted):
     """Full-text BM25 with floored idf and phrases; only items that match."""
 
     def search(self, queries: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
+        if candidates is None:
+            return bm25.search(queries, self.items, k, bm25.FTS)
         hits = bm25.scores(queries, self.items, bm25.FTS, candidates)
         return ranked(hits.select("query_id", "item_id", "score"), ["query_id"], k)
 

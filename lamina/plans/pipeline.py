@@ -57,11 +57,11 @@ def rank_documents(ds: Dataset, config: Config, methods: Sequence[str], profile:
     base: dict[str, DataFrame] = {}
     if "sparse" in needed(methods):
         if profile == "memory":
-            hits = bm25.scores(queries, items)
-            hits = pad_to_k(ranked(hits, ["query_id"], r.document_top_k), queries, "query_id", items, r.document_top_k)
+            hits = bm25.search(queries, items, r.document_top_k)
+            hits = pad_to_k(hits, queries, "query_id", items, r.document_top_k)
             base["sparse"] = ranked(hits, ["query_id"], r.document_top_k)
         else:
-            base["sparse"] = ranked(bm25.scores(queries, items, bm25.FTS), ["query_id"], r.document_top_k)
+            base["sparse"] = bm25.search(queries, items, r.document_top_k, bm25.FTS)
     if "dense" in needed(methods):
         of_items, of_queries = encoders(config, encoder)
         asked = encode_items(queries.withColumnRenamed("query_id", "item_id"), of_queries).withColumnRenamed("item_id", "query_id")

@@ -149,7 +149,7 @@ def bm25_index_weights(spark, sf):
 
 def _sparse_documents(spark, sf):
     items, asked = _doc_items(spark, sf), _asked(spark, sf)
-    hits = ranked(bm25.scores(asked, items), ["query_id"], DOC_K)
+    hits = bm25.search(asked, items, DOC_K)
     return ranked(pad_to_k(hits, asked, "query_id", items, DOC_K), ["query_id"], DOC_K)
 
 
@@ -213,8 +213,8 @@ def bm25_passage_candidate(spark, sf):
 
 @query(f"WITH {_DOCS}, {_Q}, {_bm25_sql(_INDEX_WORDS, 1.2, True)} {_top('SC', DOC_K, digits=9)}")
 def fts_bm25_doc_topk(spark, sf):
-    hits = bm25.scores(_asked(spark, sf), _doc_items(spark, sf), bm25.FTS)
-    return _out(ranked(hits, ["query_id"], DOC_K), 9).select("query_id", "item_id", "score", "rank")
+    hits = bm25.search(_asked(spark, sf), _doc_items(spark, sf), DOC_K, bm25.FTS)
+    return _out(hits, 9).select("query_id", "item_id", "score", "rank")
 
 
 # Candidates
@@ -479,7 +479,7 @@ def corpus_fingerprint(spark, sf):
 
 
 def _board(spark, sf, profile):
-    ds = D.from_tables(spark, sf)
+    ds = D.from_tables(spark, sf, keep=True)
     config = Config(retrieval=Retrieval(DOC_K, PASSAGE_K), run=Run("full"))
     return _rounded(benchmark.run(ds, config, profile, EXPERIMENTS, check=False).leaderboard)
 

@@ -25,3 +25,39 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package where they would not find it: neither on PYTHONPATH nor
+    in the folder the session was started in. Once a session; the archive lies in the shared folder."""
+    import io
+    import os
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root or getattr(context, "_lamina_shipped", False):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "lamina")):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, root))
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/lamina.zip")
+    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    context.addPyFile(place.toString())
+    context._lamina_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a scan of few small files would leave most of them idle; a scan
+    of enough files or bytes stays as it is, without a shuffle. For scans that feed heavy work."""
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, len(df.inputFiles())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * split
+    return df.repartition(cores) if 0 < files < cores and small else df
