@@ -37,8 +37,9 @@ ORDERS = 5
 MAX_TRAINING_ROWS = 20_000
 #: A word changes the likelihood ratio of two languages by at most 1 / BACKGROUND.
 BACKGROUND = 0.02
-#: Gain in log-likelihood that a further language must bring, for each doubling of the words.
-PENALTY = 3.0
+#: Gain in log-likelihood that a further language must bring: this much, and so much for each
+#: doubling of the document's words.
+PENALTY, PENALTY_BY_SIZE = 5.0, 0.5
 EM_ROUNDS = 12
 
 # ISO 639 codes and English names of languages, as label notations.
@@ -59,6 +60,9 @@ NO_LABEL = ("", "und", "unknown")
 
 _TEXT = "text that is read"
 _WORD = re.compile(r"[^\W\d_]+")
+#: What counts as a word in the model: letters; where writing has no blanks, three of them.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_UNIT = re.compile(rf"[{_UNSPACED}]{{1,3}}|[^\W\d_{_UNSPACED}]+")
 #: Numbers that are no digits (fractions, superscripts, ...): word characters, but no letters.
 _NUMBER = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]+")
 _TAG = re.compile(r"<[^<>\n]{0,200}>|&#?\w{1,10};")
@@ -164,7 +168,7 @@ class Model:
         owner: list[np.ndarray] = []
         order: list[np.ndarray] = []
         for i, lang in enumerate(self.languages):
-            own = [w for label, t in samples if label == lang for w in _WORD.findall(plain_line(t or ""))]
+            own = [w for label, t in samples if label == lang for w in _UNIT.findall(plain_line(t or ""))]
             if own:
                 h, o, _ = word_grams(own)
                 grams.append(h)
@@ -225,7 +229,7 @@ def infer(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, in
             found = _WORD.findall(line)
             if not found:
                 continue
-            own = _WORD.findall(plain_line(line))
+            own = _UNIT.findall(plain_line(line))
             line_words += [vocabulary.setdefault(w, len(vocabulary)) for w in own]
             lines.append((d, no, sum(map(len, found)), len(own)))
     out: list[list] = [[] for _ in texts]
@@ -246,7 +250,7 @@ def infer(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, in
     sums = np.add.reduceat(total, first, axis=0)
     chosen[np.arange(len(first)), sums.argmax(1)] = True
     best = total[np.arange(len(doc)), sums.argmax(1)[of]]
-    price = PENALTY * np.log2(np.maximum(2, words_of))
+    price = PENALTY + PENALTY_BY_SIZE * np.log2(np.maximum(2, words_of))
     for _ in range(model.k - 1):
         gain = np.add.reduceat(np.maximum(0, total - best[:, None]), first, axis=0)
         gain[chosen] = 0
