@@ -2,7 +2,7 @@
 
 A multilingual mixture model. Each language has a distribution of character n-grams (1 to 5,
 within words, and one of scripts), fitted to labelled sentences. The likelihood of a line is
-the product over its words of the word's n-gram likelihood, each mixed with a background, so
+the product over its distinct words of the word's n-gram likelihood, each mixed with a background, so
 that no single word (a coined name, a code) can outweigh a line. A document is a mixture of a
 set of languages: the set starts with the best single one and takes in the language with the
 largest gain in likelihood as long as the gain exceeds a penalty; expectation-maximisation then
@@ -229,7 +229,7 @@ def infer(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, in
             found = _WORD.findall(line)
             if not found:
                 continue
-            own = _UNIT.findall(plain_line(line))
+            own = list(dict.fromkeys(_UNIT.findall(plain_line(line))))  # a name said twice is no more evidence
             line_words += [vocabulary.setdefault(w, len(vocabulary)) for w in own]
             lines.append((d, no, sum(map(len, found)), len(own)))
     out: list[list] = [[] for _ in texts]
