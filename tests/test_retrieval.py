@@ -223,3 +223,55 @@ def test_vector_functions(spark):
 def test_encode_items_nulls(spark):
     got = encode_items(frame(spark, [("a", None), ("b", "word word")], "item_id string, text string"), HashingEncoder(8)).collect()
     assert {r.item_id: round(sum(x * x for x in r.embedding), 6) for r in got} == {"a": 0.0, "b": 1.0}
+
+
+def test_best_k_against_sorting():
+    from lamina.operators.topk import BestK
+
+    rng = np.random.default_rng(2)
+    for positive in (False, True):
+        best, all_ = BestK(5, 4, positive), [[] for _ in range(5)]
+        names = rng.permutation([f"i{n}" for n in range(60)]).astype(object)
+        for part in range(0, 60, 13):
+            ids = names[part : part + 13]
+            scores = rng.integers(-3, 4, (5, len(ids))) / 2
+            best.add(ids, scores)
+            for q in range(5):
+                all_[q] += list(zip(-scores[q], ids))
+        row, score, ids = best.result()
+        for q in range(5):
+            want = sorted(x for x in all_[q] if not positive or -x[0] > 0)[:4]
+            assert list(zip(-score[row == q], ids[row == q])) == want
+
+
+def test_bm25_search_equals_scores_in_blocks(spark, monkeypatch):
+    rnd = random.Random(9)
+    items = frame(spark, [(f"i{n:03}", " ".join(rnd.choices(["aa", "bb", "cc", "dd", "ee_ff", "ee", "ff"], k=rnd.randrange(0, 9))) or None) for n in range(90)] + [(None, "aa")], "item_id string, text string").repartition(3)
+    q = frame(spark, [(f"q{n}", " ".join(rnd.choices(["aa", "bb", "ee_ff", "zz"], k=3))) for n in range(7)], "query_id string, text string")
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 4)
+    monkeypatch.setattr(bm25, "QUERY_ROWS", 2)
+    monkeypatch.setattr(bm25, "ITEM_ROWS", 16)
+    key = lambda r: (r.query_id, r.item_id, r["rank"], round(r.score, 9))
+    for profile in (bm25.GLOBAL, bm25.FTS):
+        want = ranked(bm25.scores(q, items.where("item_id IS NOT NULL"), profile), ["query_id"], 5)
+        assert sorted(map(key, bm25.search(q, items, 5, profile).collect())) == sorted(map(key, want.collect()))
+    assert bm25.search(q, items, 0).count() == 0 and bm25.search(q.limit(0), items, 3).count() == 0 and bm25.search(q, items.limit(0), 3).count() == 0
+
+
+def test_salted_join(spark):
+    from lamina.operators.skew import salted_join
+
+    many = frame(spark, [("hot", n) for n in range(200)] + [("cold", 1), ("none", 2)], "k string, n int")
+    few = frame(spark, [("hot", "x"), ("cold", "y"), ("cold", "z")], "k string, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert sorted(map(str, salted_join(many, few, ["k"], ["n"], how).collect())) == sorted(map(str, many.join(few, "k", how).collect()))
+
+
+def test_written_index(spark, tmp_path):
+    items = frame(spark, [("a", "red apple"), ("b", "green apple pie"), ("c", None)], "item_id string, text string")
+    q = frame(spark, [("q1", "apple pie"), ("q2", "x_y")], "query_id string, text string")
+    bm25.write_index(items, f"{tmp_path}/i", bm25.FTS)
+    assert bm25.search_index(q, f"{tmp_path}/i", bm25.FTS) is None  # a phrase
+    one = q.where("query_id = 'q1'")
+    got = {r.item_id: r.score for r in bm25.search_index(one, f"{tmp_path}/i", bm25.FTS).collect()}
+    assert got == pytest.approx({r.item_id: r.score for r in bm25.scores(one, items, bm25.FTS).collect()})

@@ -233,3 +233,23 @@ def test_registered_queries_have_names_and_sql():
 
     names = set(E.queries())
     assert set(E.oracle_sql()) <= names and {"p1_found", "bm25_doc_topk", "leaderboard"} <= names
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from lamina.session import ship
+from lamina.operators.encoders import HashingEncoder, encode_items
+ship(spark)
+print("rows", encode_items(spark.createDataFrame([("a", "word")], "item_id string, text string"), HashingEncoder(8)).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 1" in done.stdout, done.stderr[-2000:]
