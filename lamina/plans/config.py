@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
+# Methods, depths, cutoffs, model and experiment lists of the standard configuration.
 METHODS = ("sparse", "dense", "combined")
 EXPERIMENTS = tuple(f"{d}__{p}" for d in METHODS for p in METHODS)
 

@@ -154,6 +154,7 @@ def passage_texts(passages: DataFrame, strategy: str = "title_text") -> DataFram
 
 def synthetic(spark: SparkSession) -> Dataset:
     """A dataset of three documents for smoke runs."""
+    # Titles, texts and ids of the smoke dataset, for which results are known.
     titles = {"d1": "Half Moon Putney", "d2": "Apollo Theatre", "d3": "Genome"}
     texts = {"d1": "A London pub and music venue. Artists included the Rolling Stones.", "d2": "A theatre for plays and musicals.", "d3": "DNA and genetic instructions."}
     passages = [("p1", "d1", 0, "Artists at the venue included the Rolling Stones."), ("p2", "d1", 1, "The pub is a music venue in London."), ("p3", "d2", 0, "The theatre hosts plays and musicals."), ("p4", "d3", 0, "DNA contains genetic instructions.")]
