@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +31,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once as a compressed table in the shared folder and read back; for rows that are
+    read several times and of which readers want a few columns."""
+    place = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def block_by_block(spark: SparkSession, blocks: Iterator[Any], plan: Callable[[Any], DataFrame]) -> DataFrame | None:
+    """Union of ``plan(broadcast block)`` over all blocks; None without any. A single block stays
+    lazy. Of several, each is run, its result written to the shared folder and its broadcast
+    released before the next is read: driver and executors hold one block at a time."""
+    first, second, out = next(blocks, None), next(blocks, None), None
+    if second is None:
+        return None if first is None else plan(spark.sparkContext.broadcast(first))
+    for block in chain((first, second), blocks):
+        shared = spark.sparkContext.broadcast(block)
+        part = cut(plan(shared))
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Gives Python workers this package where they would not find it: neither on PYTHONPATH nor
     in the folder the session was started in. Once a session; the archive lies in the shared folder."""
