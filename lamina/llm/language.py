@@ -20,6 +20,7 @@ languages go to the first in the model's order (alphabetical). A label is read b
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -27,14 +28,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fold import LOOKALIKE_FROM, LOOKALIKE_TO, first_table
+from .fold import first_table
 
 ORDERS = 5
-#: At most so many labelled rows are used to fit the model (the least by hash of their text).
-MAX_TRAINING_ROWS = 20_000
+#: At most so many labelled rows of each language are used to fit the model (the least by hash of
+#: their text), and of at most so many languages (the most frequent).
+MAX_ROWS_PER_LANGUAGE, MAX_LANGUAGES = 2_000, 500
 #: A word changes the likelihood ratio of two languages by at most 1 / BACKGROUND.
 BACKGROUND = 0.02
 #: Gain in log-likelihood that a further language must bring: this much, and so much for each
@@ -42,20 +44,19 @@ BACKGROUND = 0.02
 PENALTY, PENALTY_BY_SIZE = 5.0, 0.5
 EM_ROUNDS = 12
 
-# ISO 639 codes and English names of languages, as label notations.
-LANGUAGE_NAMES = """
-en eng eng english
-de deu ger german
-fr fra fre french
-es spa spa spanish castilian
-it ita ita italian
-pt por por portuguese
-nl nld dut dutch flemish
-pl pol pol polish
-ru rus rus russian
-el ell gre greek
-ja jpn jpn japanese
-"""
+# The bibliographic codes of ISO 639-2 that differ from the terminological ones, and
+# second English names; all other codes and names come from the ICU library (``notations``).
+BIBLIOGRAPHIC = "alb sq, arm hy, baq eu, bur my, chi zh, cze cs, dut nl, fre fr, geo ka, ger de, gre el, ice is, mac mk, mao mi, may ms, per fa, rum ro, slo sk, tib bo, wel cy"
+SECOND_NAMES = "castilian es, flemish nl, farsi fa, moldavian ro, valencian ca, gaelic gd, pashto ps, punjabi pa, sinhalese si, uighur ug"
+# Letters of Greek and Cyrillic that pass for Latin ones in running text, as parallel
+# strings. Letters that merely resemble (those of r, y, i or a in Greek) are left out, or Greek and
+# Russian words would turn into Latin ones.
+LOOKALIKE_FROM = (
+    "асԁеһіјӏорԛѕухԝѵ" "АВСЕНІЈКМОРԚЅТУХԜԌҮѴ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ" "ονρϲϳ"
+)
+LOOKALIKE_TO = (
+    "acdehijlopqsyxwv" "ABCEHIJKMOPQSTYXWGYV" "ABEZHIKMNOPTYXCM" "ovpcj"
+)
 NO_LABEL = ("", "und", "unknown")
 
 _TEXT = "text that is read"
@@ -65,21 +66,33 @@ _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u
 _UNIT = re.compile(rf"[{_UNSPACED}]{{1,3}}|[^\W\d_{_UNSPACED}]+")
 #: Numbers that are no digits (fractions, superscripts, ...): word characters, but no letters.
 _NUMBER = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]+")
-_TAG = re.compile(r"<[^<>\n]{0,200}>|&#?\w{1,10};")
+#: A tag of any length: each "<" is looked at up to the next one, so the scan is linear.
+_TAG = re.compile(r"<[A-Za-z/!?][^<>\n]*>|&#?\w{1,10};")
 _CODE = re.compile(r"\w*\d[\w-]*|https?://\S+|\S+@\S+")
 
 
 @lru_cache(1)
 def notations() -> dict[str, str]:
-    return {n: row.split()[0] for row in LANGUAGE_NAMES.strip().split("\n") for n in row.split()}
+    """Label in lower case to language: codes of two and three letters and English names of all
+    languages the ICU library on Spark's class path knows; on the driver."""
+    from pyspark import SparkContext
+
+    locale = SparkContext._active_spark_context._jvm.com.ibm.icu.util.ULocale
+    codes = sorted(locale.getISOLanguages(), key=lambda c: (len(c), c))
+    out = dict(pair.split() for pair in f"{BIBLIOGRAPHIC}, {SECOND_NAMES}".split(", "))
+    for code in codes:
+        one = locale(code)
+        for name in (code, one.getISO3Language(), one.getDisplayLanguage(locale.ENGLISH)):
+            if name:
+                out.setdefault(name.lower(), code)
+    return out
 
 
 def label_language(label: Column) -> Column:
     """Language of a label: its code; null if there is no label; else the label itself."""
     plain = F.lower(F.trim(label))
     head = F.regexp_extract(plain, r"^([a-z]{2,3})([-_].*)?$", 1)
-    pairs = [x for k, v in notations().items() for x in (F.lit(k), F.lit(v))]
-    known = F.create_map(*pairs)
+    known = F.from_json(F.lit(json.dumps(notations())), "map<string, string>")  # a constant
     return F.when(label.isNull() | plain.isin(*NO_LABEL), None).otherwise(
         F.coalesce(F.try_element_at(known, F.when(head != "", head).otherwise(plain)), plain)
     )
@@ -277,10 +290,13 @@ def infer(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, in
     return out
 
 
-def fit(samples: DataFrame, lang: str, text: str, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """A model from labelled rows, at most ``max_rows``; rows without label or text are left out."""
+def fit(samples: DataFrame, lang: str, text: str, max_rows: int = MAX_ROWS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+    """A model from labelled rows, at most ``max_rows`` of each language and ``max_languages``
+    languages; rows without label or text are left out."""
     rows = samples.select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("l IS NOT NULL AND t IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64("t"), "t", "l").limit(max_rows)
+    frequent = rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(max_languages)
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t"), "t"))
+    rows = rows.join(frequent, "l", "left_semi").withColumn("place", place).where(F.col("place") <= max_rows)
     return Model([(r.l, r.t) for r in rows.collect()])
 
 

@@ -49,7 +49,7 @@ def test_no_letters_and_no_model(model):
 
 
 def test_labels(spark):
-    labels = {"de": "de", "DEU": "de", "ger": "de", "de-AT": "de", "de_at": "de", "German": "de", " GERMAN ": "de", "pt-BR": "pt", "sv": "sv", "zh-Hans-CN": "zh-hans-cn", "klingon": "klingon", "": None, "und": None, "Unknown": None, None: None}
+    labels = {"de": "de", "DEU": "de", "ger": "de", "de-AT": "de", "de_at": "de", "German": "de", " GERMAN ": "de", "pt-BR": "pt", "sv": "sv", "swe": "sv", "Swedish": "sv", "zh-Hans-CN": "zh", "chi": "zh", "Norwegian": "no", "haw": "haw", "Hawaiian": "haw", "Flemish": "nl", "rum": "ro", "Klingon": "tlh", "gibberish": "gibberish", "": None, "und": None, "Unknown": None, None: None}
     df = spark.createDataFrame([(x,) for x in labels], "l string").select("l", G.label_language(F.col("l")).alias("n"))
     assert {r.l: r.n for r in df.collect()} == labels
 
@@ -77,3 +77,27 @@ def test_batches_do_not_matter(model):
         [alone] = G.infer(model, [text])
         assert [(x[0], x[2]) for x in alone] == [(x[0], x[2]) for x in one]
         assert np.allclose([x[3] for x in alone], [x[3] for x in one])
+
+
+def test_a_twelfth_and_a_rare_language(spark):
+    rnd = random.Random(6)
+    swedish = "och att det som en på är av för med inte var jag till ett kväll trädgård mellan väder flod"
+    rows = [(lang, sentence(rnd, lang)) for lang in ("en", "de") for _ in range(400)] + [("sv", " ".join(rnd.choices(swedish.split(), k=12))) for _ in range(5)]
+    fitted = G.fit(spark.createDataFrame(rows, "lang string, text string"), "lang", "text", max_rows=50)
+    assert fitted.languages == ["de", "en", "sv"]
+    docs = [(1, " ".join(rnd.choices(swedish.split(), k=15)), "swe"), (2, " ".join(rnd.choices(swedish.split(), k=15)), "Swedish"), (3, " ".join(rnd.choices(swedish.split(), k=15)), "de"), (4, sentence(rnd, "en"), "en_GB")]
+    got = G.label_repairs(G.line_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), "doc_id", "text", "lang", fitted))
+    assert [(r.doc_id, r.lang) for r in got.collect()] == [(3, "sv")]
+    assert G.fit(spark.createDataFrame(rows, "lang string, text string"), "lang", "text", max_languages=2).languages == ["de", "en"]
+
+
+def test_tags_of_any_length_in_linear_time(model):
+    import time
+
+    rnd = random.Random(7)
+    english = sentence(rnd, "en")
+    [found] = G.infer(model, [f"<p data-x='{'der die und ' * 200}'>{english}</p>\n1 < 2 {english} 3 > 2"])
+    assert [(model.languages[x[2]]) for x in found] == ["en", "en"]
+    began = time.perf_counter()
+    assert G.plain_line("<a" * 100_000) and G.plain_line("<a " + "b" * 200_000)
+    assert time.perf_counter() - began < 2

@@ -49,6 +49,59 @@ def test_twelve_words_in_odd_characters(spark):
     assert [r.doc_id for r in L.remove_affected(docs, "doc_id", found).collect()] == [2]
 
 
+def test_letters_alike_in_the_other_case_only(spark):
+    text = "the old {} near the river was dark and {} miles around there were trees".format
+    docs = spark.createDataFrame([(1, text("cave", "nine")), (2, text("cane", "nine")), (3, text("cave", "vine").upper()), (4, text("ϲаνe", "ΝІΝЕ"))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, text("cave", "nine"))], "item_id long, text string")
+    for least, want in ((13, [(1, 15), (4, 15)]), (4, [(1, 15), (2, 12), (3, 9), (4, 15)])):
+        rows = L.verbatim_matches(docs, "doc_id", "text", items, "item_id", "text", least).collect()
+        assert sorted((r.doc_id, r.n_words) for r in rows) == want
+
+
+def brute_words(doc, item):
+    best, run = 0, [0] * (len(doc) + 1)
+    for w in item:
+        run = [0, *(run[i] + 1 if x == w else 0 for i, x in enumerate(doc))]
+        best = max(best, *run)
+    return best
+
+
+def test_streams_against_brute_force():
+    rnd = random.Random(8)
+    for n in (1, 2, 3, 6):
+        for size in (2, 3, 9):
+            docs = [[rnd.randrange(size + 1) for _ in range(rnd.randrange(60))] for _ in range(12)]
+            items = [[rnd.randrange(1, size + 1) for _ in range(rnd.randrange(40))] for _ in range(6)]
+            found = L.longest_matches(L.Stream.of(docs, n), L.Stream.of(items, n), n)
+            want = {(d, i): m for d, x in enumerate(docs) for i, y in enumerate(items) if (m := brute_words([w or -1 for w in x], y)) >= n}
+            assert {(d, i): m for d, i, m, *_ in found.tolist()} == want
+            assert all(docs[d][p : p + m] == items[i][q : q + m] for d, i, m, p, q in found.tolist())
+
+
+@pytest.mark.parametrize("words", [["a"], ["a", "b"], ["a", "a", "b", "a", "c"]])
+def test_repetition_stays_cheap(words):
+    import time
+    import tracemalloc
+
+    doc, item = words * (40_000 // len(words)), words * (1000 // len(words))
+    number = {w: i + 1 for i, w in enumerate(words)}
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = L.longest_matches(L.Stream.of([[number[w] for w in doc]], 12), L.Stream.of([[number[w] for w in item]], 12), 12)
+    seconds, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    [[d, i, n, p, q]] = found.tolist()
+    assert (d, i, n, q) == (0, 0, len(item), 0) and doc[p : p + n] == item and seconds < 2 and peak < 300 << 20
+
+
+def test_many_copies_of_one_text(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(d, f"x{d} {text} y{d}") for d in range(3000)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(i, text) for i in range(4)], "item_id long, text string")
+    rows = L.verbatim_matches(docs, "doc_id", "text", items, "item_id", "text").collect()
+    assert len(rows) == 12_000 and {(r.n_words, r.doc_word, r.item_word) for r in rows} == {(30, 1, 0)}
+
+
 def test_both_keys_of_one_name(spark):
     df = spark.createDataFrame([(1, "a b c", "x")], "id long, text string, t string")
     assert L.verbatim_matches(df, "id", "text", df, "id", "text", 2).columns[:2] == ["id", "item_id"]
