@@ -68,7 +68,7 @@ _UNIT = re.compile(rf"[{_UNSPACED}]{{1,3}}|[^\W\d_{_UNSPACED}]+")
 _NUMBER = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]+")
 #: A tag of any length: each "<" is looked at up to the next one, so the scan is linear.
 _TAG = re.compile(r"<[A-Za-z/!?][^<>\n]*>|&#?\w{1,10};")
-_CODE = re.compile(r"\w*\d[\w-]*|https?://\S+|\S+@\S+")
+_TOKEN, _RUN, _DIGIT = re.compile(r"\S+"), re.compile(r"\w[\w-]*"), re.compile(r"\d")
 
 
 @lru_cache(1)
@@ -124,6 +124,20 @@ def _one_script(m: re.Match) -> str:
     return w.translate(back["c" if _CYRILLIC.search(rest) else "g"])
 
 
+def _token_without_address(m: re.Match) -> str:
+    token = m.group()
+    if "@" in token[1:-1]:
+        return " "
+    at = min((i for i in (token.find("http://"), token.find("https://")) if i >= 0), default=len(token))
+    return token[:at]
+
+
+def _run_without_code(m: re.Match) -> str:
+    """What stands before the word with the first digit."""
+    digit = _DIGIT.search(m.group())
+    return m.group() if digit is None else m.group()[: m.group().rfind("-", 0, digit.start()) + 1] + " "
+
+
 def plain_line(line: str) -> str:
     """Lower case, without markup, codes and characters that are not seen; words in one script."""
     if not line.isascii():
@@ -131,7 +145,11 @@ def plain_line(line: str) -> str:
         line = _WORD.sub(_one_script, line)
     if "<" in line or "&" in line:
         line = _TAG.sub(" ", line)
-    return _CODE.sub(" ", line).lower()
+    if "@" in line or "://" in line:
+        line = _TOKEN.sub(_token_without_address, line)
+    if _DIGIT.search(line):
+        line = _RUN.sub(_run_without_code, line)
+    return line.lower()
 
 
 def _script_of(code: np.ndarray) -> np.ndarray:

@@ -98,6 +98,8 @@ def test_tags_of_any_length_in_linear_time(model):
     english = sentence(rnd, "en")
     [found] = G.infer(model, [f"<p data-x='{'der die und ' * 200}'>{english}</p>\n1 < 2 {english} 3 > 2"])
     assert [(model.languages[x[2]]) for x in found] == ["en", "en"]
+    assert G.plain_line("Ab ab-12-c QX-V49JSCD me@x.org at http://a.b/c word").split() == ["ab", "ab-", "qx-", "at", "word"]
     began = time.perf_counter()
+    assert G.plain_line("b" * 200_000 + " " + "x" * 200_000 + "@")
     assert G.plain_line("<a" * 100_000) and G.plain_line("<a " + "b" * 200_000)
     assert time.perf_counter() - began < 2
