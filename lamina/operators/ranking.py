@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 ROUND = 9
 SMALL, SMALL_ROUND = 0.001, 15
 
@@ -27,6 +29,23 @@ def ranked(df: DataFrame, groups: Sequence[str], k: int, order: Sequence[Column]
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k))
 
 
+def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Adds ``name``: 1, 2, ... (bigint) by ``order``, which must be total, within each group of any size.
+
+    Rows are range-partitioned by group and order, so that a hot group is spread over tasks; a row's
+    number is its place in its partition and the rows of its group in earlier ones. ``df`` is computed
+    twice (the ranges are sampled first)."""
+    part, n, spark = "partition of the order", "rows before", df.sparkSession
+    own = [F.col(f"`{g}`") for g in groups]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(df.repartitionByRange(ranges, *own, *order).withColumn(part, F.spark_partition_id()))
+    counts = rows.groupBy(*own, part).agg(F.count(F.lit(1)).alias(n))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(*own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy(*own, part).orderBy(*order))
+    joined = rows.withColumn(name, at).join(counts.withColumn(n, before), [*groups, part])
+    return joined.withColumn(name, (F.col(name) + F.col(n)).cast("bigint")).select(*df.columns, name)
+
+
 def pad_to_k(hits: DataFrame, groups: DataFrame, group: str, items: DataFrame, k: int) -> DataFrame:
     """``hits`` (group, item_id, positive score) and further items with score 0 in item order, for
     lists that must be k long. The k least item_ids always suffice, so the padding is bounded by
