@@ -7,13 +7,17 @@ anti / (ideal + anti), which is sorted on.
 
 Winsorising: values above the 95th percentile, but at least the highest one (from three values
 on), are lowered to the value below; those under the 5th percentile, but at least the lowest
-one (from five values on), are raised likewise. One wild score thus never sets a scale.
+one (from five values on), are raised likewise. One wild score thus never sets a scale. The
+percentiles are exact at every size: the values in place ceil(0.95 n) and ceil(0.05 n).
 
 An item that a source does not list has that source's least value. A source whose winsorised
 values are all equal says nothing and adds no distance; if all say nothing, closeness is 0.5.
 Ties: more first places in unclipped scores, then identifier. Nulls, NaN and repeated items as in
-``topn.best_by_item``. All statistics of a group are mergeable aggregates (heaps of two,
-percentile sketches of bounded size, sums), so a hot group is spread over tasks.
+``topn.best_by_item``.
+
+Places come from ``ranking.numbered``, which spreads a group over tasks by ranges; the other
+statistics are partial aggregates, and joins back to the rows are salted. Normalised scores are
+taken as whole billionths, so sums of squares are exact and no ranking depends on partitioning.
 """
 
 from __future__ import annotations
@@ -23,57 +27,62 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import numbered
 from ..operators.skew import salted_join
-from .topn import best_by_item, bounded_heap
+from ..session import kept
+from .topn import best_by_item
 
-_PERCENTILE_ACCURACY = 10_000
+#: Normalised scores are whole multiples of 1 / UNIT.
+UNIT = 10**9
 
 
 def source_bounds(best: DataFrame, group: str, source: str) -> DataFrame:
     """For each group and source: lo, hi (winsorising bounds), top (highest raw score)."""
-    stats = best.groupBy(group, source).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("score", F.array(F.lit(0.05), F.lit(0.95)), _PERCENTILE_ACCURACY).alias("p"),
-        bounded_heap(F.col("score"), 2, smallest=False).alias("high"),
-        bounded_heap(F.col("score"), 2).alias("low"),
-    )
-    at = lambda c, i: F.get(c, F.lit(i))
-    hi = F.when(F.col("n") >= 3, F.least(at("p", 1), at("high", 1))).otherwise(at("high", 0))
-    lo = F.when(F.col("n") >= 5, F.greatest(at("p", 0), at("low", 1))).otherwise(at("low", 0))
-    return stats.select(group, source, F.least(lo, hi).alias("lo"), hi.alias("hi"), at("high", 0).alias("top"))
+    keys = [group, source]
+    sizes = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"), F.max("score").alias("top"))
+    places = numbered(best, keys, [F.col("score").asc(), F.col("item_id").asc()], "place")
+    at = lambda place: F.max(F.when(F.col("place") == F.expr(place), F.col("score")))
+    rows = salted_join(places, sizes, keys, ["item_id"]).groupBy(*keys, "n", "least", "top").agg(
+        at("(95 * n + 99) div 100").alias("p95"), at("n - 1").alias("second_highest"),
+        at("greatest(1, (5 * n + 99) div 100)").alias("p5"), at("2").alias("second_lowest"),
+    )
+    hi = F.when(F.col("n") >= 3, F.least("p95", "second_highest")).otherwise(F.col("top"))
+    lo = F.when(F.col("n") >= 5, F.greatest("p5", "second_lowest")).otherwise(F.col("least"))
+    return rows.select(*keys, F.least(lo, hi).alias("lo"), hi.alias("hi"), "top")
 
 
-def ideal_point_ranking(df: DataFrame, group: str, source: str, item: str, score: str, weights: Mapping[str, float] | None = None) -> DataFrame:
+def closeness(df: DataFrame, group: str, source: str, item: str, score: str, weights: Mapping[str, float] | None = None) -> DataFrame:
     """group, item_id, closeness (double), firsts (bigint): one row for each group and item."""
-    best = best_by_item(df, [group, source], item, score)
+    best = kept(best_by_item(df, [group, source], item, score))
     bounds = source_bounds(best, group, source)
-    clipped = salted_join(best, bounds, [group, source], ["item_id"]).withColumn("x", F.greatest("lo", F.least("hi", "score")) - F.col("lo"))
-    norms = clipped.groupBy(group, source).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    weight = F.lit(1.0)
+    x = F.greatest("lo", F.least("hi", "score")) - F.col("lo")
+    clipped = kept(salted_join(best, bounds, [group, source], ["item_id"]).select(group, source, "item_id", x.alias("x"), (F.col("hi") - F.col("lo")).alias("width"), (F.col("score") >= F.col("top")).cast("bigint").alias("first")))
+    norms = clipped.groupBy(group, source).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.max("width").alias("width"))
+    most = max([1.0, *(weights or {}).values()])
+    weight = F.lit(1.0 / most)
     for name, w in (weights or {}).items():
-        weight = F.when(F.col(source) == name, F.lit(float(w))).otherwise(weight)
-    scaled = norms.join(bounds, [group, source]).select(
-        group, source, "lo", "hi", "top",
-        F.when(F.col("norm") > 0, weight / F.col("norm")).otherwise(0.0).alias("scale"),
-    )
-    span = (F.col("hi") - F.col("lo")) * F.col("scale")
-    full = scaled.groupBy(group).agg(F.sum(span * span).alias("full"))
-    rows = salted_join(best, scaled, [group, source], ["item_id"]).select(
-        group, "item_id",
-        (F.greatest("lo", F.least("hi", "score")) - F.col("lo")).alias("x"),
-        "scale", span.alias("span"), (F.col("score") >= F.col("top")).cast("bigint").alias("first"),
-    )
-    v = F.col("x") * F.col("scale")
+        weight = F.when(F.col(source) == name, F.lit(float(w) / most)).otherwise(weight)
+    whole = lambda v: F.round(v * UNIT).cast("decimal(38,0)")
+    square = lambda c: (c * c).cast("decimal(38,0)")
+    scaled = norms.select(group, source, "width", F.when(F.col("norm") > 0, weight / F.col("norm")).otherwise(0.0).alias("scale"))
+    full = scaled.groupBy(group).agg(F.sum(square(whole(F.col("width") * F.col("scale")))).alias("full"))
+    rows = salted_join(clipped.drop("width"), scaled, [group, source], ["item_id"]).select(group, "item_id", "first", whole(F.col("x") * F.col("scale")).alias("v"), whole(F.col("width") * F.col("scale")).alias("span"))
     items = rows.groupBy(group, "item_id").agg(
-        F.sum(v * v).alias("anti2"),
-        F.sum((F.col("span") - v) * (F.col("span") - v) - F.col("span") * F.col("span")).alias("gap2"),
+        F.sum(square(F.col("v"))).alias("anti"),
+        F.sum(square(F.col("span") - F.col("v")) - square(F.col("span"))).alias("less"),
         F.sum("first").alias("firsts"),
     )
-    anti, ideal = F.sqrt("anti2"), F.sqrt(F.greatest(F.lit(0.0), F.col("full") + F.col("gap2")))
+    anti, ideal = F.sqrt(F.col("anti").cast("double")), F.sqrt((F.col("full") + F.col("less")).cast("double"))
     near = F.when(anti + ideal > 0, anti / (anti + ideal)).otherwise(0.5)
     return salted_join(items, full, [group], ["item_id"]).select(group, "item_id", F.round(near, 9).alias("closeness"), "firsts")
 
 
+def ideal_point_ranking(df: DataFrame, group: str, source: str, item: str, score: str, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """group, item_id, closeness, firsts, rank (bigint, from 1): one row for each group and item."""
+    rows = kept(closeness(df, group, source, item, score, weights))
+    return numbered(rows, [group], [F.col("closeness").desc(), F.col("firsts").desc(), F.col("item_id").asc()])
+
+
 def first_of_ranking(ranking: DataFrame, group: str) -> DataFrame:
     """group, item_id of the first item: closeness, then firsts, then identifier."""
     entry = F.struct((-F.col("closeness")).alias("c"), (-F.col("firsts")).alias("f"), F.col("item_id"))

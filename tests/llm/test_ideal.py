@@ -74,3 +74,23 @@ def test_weights(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     for weights, first in (({"a": 5.0}, "x"), ({"b": 5.0}, "y")):
         assert I.first_of_ranking(I.ideal_point_ranking(df, "q", "r", "item_id", "score", weights), "q").first().item_id == first
+
+
+def test_a_hot_group_ranks_alike_in_any_partitioning(spark):
+    from pyspark.sql import functions as F
+
+    items = spark.range(50_000)
+    rows = None
+    for r, score in (("a", "abs(hash(id)) / 1e6"), ("b", "pmod(hash(id, 1), 1000) / 7"), ("c", "exp(pmod(hash(id, 2), 100) / 30)")):
+        part = items.where(f"pmod(hash(id, '{r}'), 5) > 0").selectExpr("'hot' AS q", f"'{r}' AS r", "concat('i', id) AS item_id", f"{score} AS score", "1 AS closeness")
+        rows = part if rows is None else rows.unionByName(part)
+    one, two = (I.ideal_point_ranking(x, "q", "r", "item_id", "score") for x in (rows.repartition(3), rows.orderBy(F.col("score").desc()).repartition(7)))
+    first, second = (sorted((r["rank"], r.item_id, r.closeness, r.firsts) for r in x.collect()) for x in (one, two))
+    assert first == second and [r[0] for r in first] == list(range(1, len(first) + 1))
+    assert [(-c, -f, i) for _, i, c, f in first] == sorted((-c, -f, i) for _, i, c, f in first)
+    # the bounds are exact order statistics
+    best = I.best_by_item(rows.where("r = 'a'"), ["q", "r"], "item_id", "score")
+    values = sorted(r.score for r in best.collect())
+    n = len(values)
+    [b] = I.source_bounds(best, "q", "r").collect()
+    assert (b.lo, b.hi, b.top) == (values[(5 * n + 99) // 100 - 1], values[(95 * n + 99) // 100 - 1], values[-1])

@@ -38,7 +38,20 @@ def test_empty_and_bad_n(spark):
         N.top_n(df, ["query_id"], "item_id", "score", 0)
 
 
-def test_partial_aggregation_before_the_shuffle(spark):
-    df = spark.createDataFrame([("q", "a", "i", 1.0, "", 1)], SCHEMA)
-    plan = N.top_n(df, ["query_id"], "item_id", "score", 2)._jdf.queryExecution().executedPlan().toString()
-    assert "partial_collect_top_k" in plan
+def test_small_heaps_and_hand_ons(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(f"q{rnd.randrange(40)}", "a", f"i{rnd.randrange(30):02}", float(rnd.randrange(9)), "x", 1) for _ in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(N, "WAITING_ROWS", 50)
+    monkeypatch.setattr(N, "HEAP_ENTRIES", 60)
+    got = [tuple(r) for r in N.top_n(df, ["query_id", "retriever"], "item_id", "score", 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 3)
+
+
+def test_a_hot_group_is_cut_down_before_the_only_shuffle(spark):
+    hot = spark.range(200_000, numPartitions=4).selectExpr("'q' AS query_id", "'a' AS retriever", "concat('i', id % 50000) AS item_id", "cast(id % 977 AS double) AS score")
+    assert N.partial_heaps(N.best_rows(hot, ["query_id", "retriever"], "item_id", "score"), 5).count() == 20
+    plan = N.top_n(hot, ["query_id", "retriever"], "item_id", "score", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+    places = [r.item_id for r in N.top_n(hot, ["query_id", "retriever"], "item_id", "score", 5).orderBy("place").collect()]
+    assert places == sorted({f"i{i % 50000}" for i in range(200_000) if i % 977 == 976})[:5]
