@@ -56,3 +56,11 @@ def test_one_record_and_none(spark):
     one = spark.createDataFrame([("a", "x x y", 1)], "k string, text string, n int")
     assert {r.score for r in T.residual_scores(one, "k", "text").collect()} == {0.0}
     assert T.residual_scores(one.limit(0), "k", "text").count() == 0
+
+
+def test_every_text_is_tokenised_once(spark, monkeypatch):
+    calls, kept = [], T.kept
+    monkeypatch.setattr(T, "kept", lambda df: calls.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    df = spark.createDataFrame(ROWS, "k string, text string, term int")
+    plan = T.residual_scores(df, "k", "text", 3)._jdf.queryExecution().toString()
+    assert len(calls) == 1 and calls[0].count("Exchange") == 1 and "SortAggregate" not in calls[0] and "regexp_extract_all" not in plan
