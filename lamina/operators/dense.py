@@ -4,9 +4,9 @@ Global: the query vectors are taken in blocks of bounded size; each block is bro
 task multiplies its items batch by batch and keeps a running best k a query, and only k rows a
 task and query are shuffled to be merged. The items are never shuffled.
 
-Restricted to candidates: the pairs are joined with the vectors (or texts, encoded on the way)
-and multiplied batch by batch. Zero scores are kept. Ties go to the lesser item_id. Rows with a
-null id or vector are left out.
+Restricted to candidates: pairs are gathered at their item, which is encoded once and meets the
+broadcast query vectors. Zero scores are kept. Ties go to the lesser item_id. Rows with a null id or
+vector are left out.
 """
 
 from __future__ import annotations
@@ -15,30 +15,33 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
-from .encoders import Encoder, matrix
+from ..session import block_by_block, spread
+from .encoders import Encoder, encode_items, matrix
 from .ranking import ranked
 from .topk import BestK
 
 #: Bytes of query vectors broadcast at a time.
 BLOCK_BYTES = 64 << 20
+#: Hits (queries times k) that a task keeps for a block.
+BLOCK_HITS = 1_000_000
 
 
-def _blocks(queries: DataFrame, dimension: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    size = max(1, BLOCK_BYTES // (4 * max(1, dimension)))
+def _blocks(queries: DataFrame, dimension: int, k: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    size = max(1, min(BLOCK_BYTES // (8 * max(1, dimension)), BLOCK_HITS // max(1, k)))
     ids: list[str] = []
-    rows: list[list[float]] = []
-    for r in queries.select("query_id", "embedding").where("query_id IS NOT NULL AND embedding IS NOT NULL").toLocalIterator():
+    rows: list[np.ndarray] = []
+    for r in queries.select("query_id", "embedding").where("query_id IS NOT NULL AND embedding IS NOT NULL").toLocalIterator(prefetchPartitions=True):
         ids.append(r.query_id)
-        rows.append(r.embedding)
+        rows.append(np.array(r.embedding, np.float64))
         if len(ids) >= size:
-            yield ids, np.array(rows, np.float64)
+            yield ids, np.stack(rows)
             ids, rows = [], []
     if ids:
-        yield ids, np.array(rows, np.float64)
+        yield ids, np.stack(rows)
 
 
 def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder: Encoder | None = None) -> DataFrame:
@@ -48,73 +51,86 @@ def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder
     item_id and text, which is then encoded in the task that scans it."""
     source = "text" if encoder is not None else "embedding"
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), source).where("item_id IS NOT NULL" + ("" if encoder is not None else " AND embedding IS NOT NULL"))
-    rows, spark, out = spread(rows), items.sparkSession, None
+    rows, spark = spread(rows), items.sparkSession
     if k <= 0:
         return spark.createDataFrame([], "query_id string, item_id string, score double, rank int")
-    for ids, vectors in _blocks(queries, dimension):
-        shared = spark.sparkContext.broadcast((ids, vectors))
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def scored(shared) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query_ids, q = shared.value
             best = BestK(len(query_ids), k)
             for b in batches:
                 for i in range(0, b.num_rows, 4096):
                     part = b.slice(i, 4096)
-                    rows = encoder.encode([t or "" for t in part.column(1).to_pylist()]).astype(np.float64) if encoder is not None else matrix(part.column(1))
-                    best.add(np.array(part.column(0).to_pylist(), dtype=object), q @ rows.T)
+                    best.add(np.array(part.column(0).to_pylist(), dtype=object), q @ _vectors(part.column(1), encoder).T)
             row, score, ids = best.result()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(query_ids, pa.string()).take(pa.array(row, pa.int64())), pa.array(ids.tolist(), pa.string()), pa.array(score, pa.float64())],
                 names=["query_id", "item_id", "score"],
             )
 
-        found = rows.mapInArrow(work, "query_id string, item_id string, score double")
-        out = found if out is None else out.unionByName(found)
+        return rows.mapInArrow(work, "query_id string, item_id string, score double")
+
+    out = block_by_block(spark, _blocks(queries, dimension, k), scored)
     if out is None:
         out = spark.createDataFrame([], "query_id string, item_id string, score double")
     return ranked(out, ["query_id"], k)
 
 
-def candidate_search(pairs: DataFrame, queries: DataFrame, items: DataFrame, k: int, groups: Sequence[str] = ("query_id",)) -> DataFrame:
+def _vectors(column: pa.Array, encoder: Encoder | None) -> np.ndarray:
+    return matrix(column) if encoder is None else encoder.encode([t or "" for t in column.to_pylist()]).astype(np.float64)
+
+
+def candidate_search(pairs: DataFrame, queries: DataFrame, items: DataFrame, k: int, groups: Sequence[str] = ("query_id",), encoder: Encoder | None = None) -> DataFrame:
     """groups..., item_id, score, rank over the candidate pairs (groups..., item_id).
 
-    ``queries``: query_id, embedding; ``items``: item_id, embedding. Unknown ids are ignored."""
-    rows = pairs.select(*groups, "item_id").distinct().join(items.select("item_id", "embedding"), "item_id")
-    rows = rows.join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id").where("embedding IS NOT NULL AND asked IS NOT NULL")
-    kinds = dict(rows.dtypes)
-    cols = [*groups, "item_id"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, q = matrix(b.column("embedding")), matrix(b.column("asked"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array((a * q).sum(1))], names=[*cols, "score"])
-
-    scored = rows.select(*cols, "embedding", "asked").mapInArrow(work, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", score double")
-    return ranked(scored, groups, k)
-
-
-def candidate_text_search(pairs: DataFrame, queries: DataFrame, items: DataFrame, encoder: Encoder, query_encoder: Encoder, k: int, groups: Sequence[str] = ("query_id",), batch: int = 2048) -> DataFrame:
-    """As ``candidate_search``, with texts that are encoded next to the product.
-
-    Pairs arrive sorted by item within a task, so every item is encoded about once; vectors
-    never enter a shuffle, texts do."""
-    rows = pairs.select(*groups, "item_id").distinct().join(items.select("item_id", "text"), "item_id")
-    rows = rows.join(queries.select("query_id", F.col("text").alias("asked")), "query_id")
-    kinds = dict(rows.dtypes)
-    cols = [*groups, "item_id"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def vectors(texts: list, enc: Encoder) -> np.ndarray:
-            kinds = list(dict.fromkeys(t or "" for t in texts))
-            at = {t: i for i, t in enumerate(kinds)}
-            return enc.encode(kinds).astype(np.float64)[[at[t or ""] for t in texts]]
-
-        for b in batches:
-            for i in range(0, b.num_rows, batch):
-                part = b.slice(i, batch)
-                score = (vectors(part.column("text").to_pylist(), encoder) * vectors(part.column("asked").to_pylist(), query_encoder)).sum(1)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.array(score)], names=[*cols, "score"])
-
-    ordered = rows.select(*cols, "text", "asked").repartition("item_id").sortWithinPartitions("item_id")
-    scored = ordered.mapInArrow(work, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", score double")
-    return ranked(scored, groups, k)
+    ``queries``: query_id, embedding; ``items``: item_id and embedding, or, with an encoder,
+    item_id and text. Unknown ids are ignored.
+
+    The groups that want an item are gathered at the item, so its text or vector is shuffled once and
+    encoded once, and meet the broadcast vectors of the queries. Queries are split by hash into
+    blocks of bounded size, which also bounds what one item gathers."""
+    spark, source = items.sparkSession, "embedding" if encoder is None else "text"
+    asked = queries.select("query_id", "embedding").where("query_id IS NOT NULL AND embedding IS NOT NULL")
+    kinds = dict(pairs.select(*groups, "item_id").dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*groups, "item_id"]) + ", score double"
+    count, width = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    n_blocks = -(-count * (width or 1) * 8 // BLOCK_BYTES)
+    of_block = lambda df, i: df if n_blocks == 1 else df.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
+    known = items.select("item_id", source) if encoder is not None else items.select("item_id", source).where("embedding IS NOT NULL")
+
+    def blocks() -> Iterator[tuple[int, list[str], np.ndarray]]:
+        for i in range(n_blocks):
+            rows = of_block(asked, i).toArrow().combine_chunks()
+            yield i, rows.column("query_id").to_pylist(), matrix(pa.concat_arrays(rows.column("embedding").chunks)) if rows.num_rows else np.zeros((0, width or 1))
+
+    def scored(shared) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, ids, q = shared.value
+            ids = pa.array(ids, pa.string())
+            for b in batches:
+                for start in range(0, b.num_rows, 1024):
+                    part = b.slice(start, 1024)
+                    vectors, wanted = _vectors(part.column(source), encoder), part.column("wanted")
+                    who = wanted.flatten()
+                    row = np.repeat(np.arange(part.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+                    query = pc.fill_null(pc.index_in(who.field("query_id"), value_set=ids), -1).to_numpy(zero_copy_only=False)
+                    at = np.flatnonzero(query >= 0)
+                    for i in range(0, len(at), 8192):
+                        own = at[i : i + 8192]
+                        take = pa.array(own)
+                        score = np.einsum("ij,ij->i", vectors[row[own]], q[query[own]])
+                        yield pa.RecordBatch.from_arrays([*(who.field(c).take(take) for c in groups), part.column("item_id").take(pa.array(row[own])), pa.array(score)], names=[*groups, "item_id", "score"])
+
+        own = of_block(pairs, shared.value[0]).groupBy("item_id").agg(F.collect_set(F.struct(*groups)).alias("wanted"))
+        return own.join(known, "item_id").select("item_id", source, "wanted").mapInArrow(work, schema)
+
+    out = block_by_block(spark, blocks(), scored)
+    return ranked(spark.createDataFrame([], schema) if out is None else out, groups, k)
+
+
+def candidate_text_search(pairs: DataFrame, queries: DataFrame, items: DataFrame, encoder: Encoder, query_encoder: Encoder, k: int, groups: Sequence[str] = ("query_id",)) -> DataFrame:
+    """As ``candidate_search``, with texts: ``queries`` (query_id, text) and ``items`` (item_id,
+    text) are encoded once each."""
+    asked = encode_items(queries.selectExpr("query_id AS item_id", "text"), query_encoder).withColumnRenamed("item_id", "query_id")
+    return candidate_search(pairs, asked, items, k, groups, encoder)

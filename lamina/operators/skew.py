@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 SALT = "salt of the join"
+#: A key that holds more than 1 / HOT_SHARE of all rows is hot; there are at most HOT_SHARE of them.
+HOT_SHARE = 10_000
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
@@ -20,3 +22,13 @@ def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequen
     a = many.withColumn(SALT, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     b = few.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*keys, SALT], how).drop(SALT)
+
+
+def frequency_join(many: DataFrame, few: DataFrame, key: str, count: str, share: int = HOT_SHARE) -> DataFrame:
+    """``many`` joined with ``few``, which has one row a ``key`` and in ``count`` how many rows of
+    ``many`` have it. Rows of hot keys meet a broadcast of at most ``share`` rows and are not
+    shuffled; all others are joined by key, where none is hot."""
+    total = few.agg(F.coalesce(F.sum(count), F.lit(0))).scalar()
+    hot_count = F.col(count) * share >= total
+    hot = F.broadcast(few.where(hot_count))
+    return many.join(hot, key).unionByName(many.join(hot.select(key), key, "left_anti").join(few.where(~hot_count), key))

@@ -38,7 +38,7 @@ class BestK:
         row, col = np.nonzero(keep)
         self.parts.append((row + first, scores[row, col], ids[col]))
         self.waiting += len(row)
-        if self.waiting > 8 * self.n * self.k + 100_000:
+        if self.waiting > 3 * self.n * self.k + 100_000:
             self.parts = [self.result()]
             self.waiting = len(self.parts[0][0])
 
