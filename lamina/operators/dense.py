@@ -26,6 +26,8 @@ from .topk import BestK
 
 #: Bytes of query vectors broadcast at a time.
 BLOCK_BYTES = 64 << 20
+#: Items multiplied with the vectors of a block at a time.
+ITEM_ROWS = 4096
 #: Hits (queries times k) that a task keeps for a block.
 BLOCK_HITS = 1_000_000
 
@@ -44,11 +46,13 @@ def _blocks(queries: DataFrame, dimension: int, k: int) -> Iterator[tuple[list[s
         yield ids, np.stack(rows)
 
 
-def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder: Encoder | None = None) -> DataFrame:
+def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder: Encoder | None = None, chunk: int = ITEM_ROWS) -> DataFrame:
     """query_id, item_id, score, rank: the k nearest items of every query.
 
     ``queries``: query_id, embedding. ``items``: item_id and embedding, or, with an encoder,
-    item_id and text, which is then encoded in the task that scans it."""
+    item_id and text, which is then encoded in the task that scans it. At most ``chunk`` items are
+    multiplied at a time."""
+    chunk = max(1, min(chunk, ITEM_ROWS))
     source = "text" if encoder is not None else "embedding"
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), source).where("item_id IS NOT NULL" + ("" if encoder is not None else " AND embedding IS NOT NULL"))
     rows, spark = spread(rows), items.sparkSession
@@ -60,8 +64,8 @@ def search(queries: DataFrame, items: DataFrame, k: int, dimension: int, encoder
             query_ids, q = shared.value
             best = BestK(len(query_ids), k)
             for b in batches:
-                for i in range(0, b.num_rows, 4096):
-                    part = b.slice(i, 4096)
+                for i in range(0, b.num_rows, chunk):
+                    part = b.slice(i, chunk)
                     best.add(np.array(part.column(0).to_pylist(), dtype=object), q @ _vectors(part.column(1), encoder).T)
             row, score, ids = best.result()
             yield pa.RecordBatch.from_arrays(

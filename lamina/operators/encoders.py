@@ -30,7 +30,7 @@ class Encoder(Protocol):
 class HashingEncoder:
     """Signed feature hashing of words, then unit length; a text without words stays zero.
 
-    A word's bucket is the first 8 bytes of its BLAKE2b digest (least byte first) modulo the
+    Fixed values (digest, byte order, sign bit): vectors are equal wherever they are made. A word's bucket is the first 8 bytes of its BLAKE2b digest (least byte first) modulo the
     dimension; bit 8 set means minus."""
 
     def __init__(self, dimension: int = 512):
@@ -74,21 +74,76 @@ class PrefixedEncoder:
         return self.encoder.encode([self.prefix + (t or "") for t in texts])
 
 
+def available_devices() -> tuple[str, ...]:
+    """Devices of this machine: its CUDA devices, else the processor."""
+    try:
+        from torch import cuda
+    except ImportError:
+        return ("cpu",)
+    return tuple(f"cuda:{i}" for i in range(cuda.device_count())) or ("cpu",)
+
+
+def worker_device(preferred: Sequence[str] = (), several: bool = True, available: Sequence[str] | None = None) -> str:
+    """Device of this Python worker: one of the GPUs Spark gave to its task; else the available preferred
+    ones in turn by task (only the first unless ``several``); else the first available one."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    given = task.resources().get("gpu") if task is not None else None
+    if given is not None and given.addresses:
+        return f"cuda:{given.addresses[0]}"
+    have = tuple(available) if available is not None else available_devices()
+    usable = [d for d in preferred if d in have] or [have[0]]
+    return usable[task.partitionId() % len(usable)] if task is not None and several else usable[0]
+
+
 class ModelEncoder:
-    """A sentence-embedding model, loaded in each worker by ``load()``: an object with
-    ``encode(texts, batch_size=..., normalize_embeddings=True)``."""
+    """A sentence-embedding model, loaded once a worker by ``load(device)``: an object with
+    ``encode(texts, batch_size=..., normalize_embeddings=True)``. ``dimension`` None asks the model,
+    which is then loaded on the driver too. ``chunk`` texts are handed to the model at a time;
+    ``dtype`` float16 rounds the vectors to half precision."""
+
+    def __init__(self, name: str, load: Callable[[str], object], dimension: int | None = None, batch_size: int = 64, devices: Sequence[str] = (), several: bool = True, chunk: int = 5_000, dtype: str = "float32"):
+        self.name, self.load, self.batch_size, self.devices, self.several, self.chunk, self.dtype = name, load, batch_size, tuple(devices), several, chunk, dtype
+        self._dimension, self._model = dimension, None
 
-    def __init__(self, name: str, load: Callable[[], object], dimension: int, batch_size: int = 64):
-        self.name, self.load, self.dimension, self.batch_size = name, load, dimension, batch_size
-        self._model = None
+    @classmethod
+    def sentence_transformer(cls, model: str, revision: str | None = None, **settings) -> "ModelEncoder":
+        """A pinned revision of a public model; the library is imported where it is loaded."""
+
+        def load(device: str) -> object:
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError as absent:
+                raise RuntimeError("dense retrieval by model needs the sentence-transformers library") from absent
+            return SentenceTransformer(model, revision=revision, device=device)
+
+        return cls(f"{model}@{revision or 'main'}", load, **settings)
 
     def __getstate__(self):
         return self.__dict__ | {"_model": None}
 
-    def encode(self, texts: Sequence[str]) -> np.ndarray:
+    @property
+    def model(self) -> object:
         if self._model is None:
-            self._model = self.load()
-        return np.asarray(self._model.encode(list(texts), batch_size=self.batch_size, normalize_embeddings=True))
+            self._model = self.load(worker_device(self.devices, self.several))
+        return self._model
+
+    @property
+    def dimension(self) -> int:
+        if self._dimension is None:
+            names = ("get_embedding_dimension", "get_sentence_embedding_dimension")
+            ask = next((f for n in names if callable(f := getattr(self.model, n, None))), None)
+            if ask is None:
+                raise TypeError(f"the model tells no dimension: it has none of {', '.join(names)}")
+            self._dimension = int(ask())
+        return self._dimension
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        texts = list(texts)
+        parts = [np.asarray(self.model.encode(texts[i : i + self.chunk], batch_size=self.batch_size, normalize_embeddings=True)) for i in range(0, len(texts), self.chunk)]
+        out = np.concatenate(parts) if parts else np.zeros((0, self.dimension))
+        return out.astype(self.dtype).astype(np.float32)
 
 
 def vector_array(rows: np.ndarray) -> pa.Array:

@@ -79,16 +79,25 @@ class FullTextRetriever(_Fitted):
 
 
 class EncoderRetriever(_Fitted):
-    """Exact search by the inner product of unit vectors of any encoder."""
+    """Exact search by the inner product of unit vectors of any encoder. With ``cache_path`` the
+    vectors of the items are written there and used again as long as items and encoder stay the same."""
 
-    def __init__(self, encoder: Encoder, query_prefix: str = "query: ", corpus_prefix: str = "passage: "):
+    def __init__(self, encoder: Encoder, query_prefix: str = "query: ", corpus_prefix: str = "passage: ", cache_path: str | None = None):
+        self.cache_path = cache_path
         self.of_items, self.of_queries = (PrefixedEncoder(encoder, p) if p else encoder for p in (corpus_prefix, query_prefix))
 
     def search(self, queries: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
-        if candidates is not None:
+        if candidates is not None and self.cache_path is None:
             return dense.candidate_text_search(candidates, queries, self.items, self.of_items, self.of_queries, k)
         asked = encode_items(queries.selectExpr("query_id AS item_id", "text"), self.of_queries).withColumnRenamed("item_id", "query_id")
-        return dense.search(asked, self.items, k, self.of_items.dimension, self.of_items)
+        if self.cache_path is None:
+            return dense.search(asked, self.items, k, self.of_items.dimension, self.of_items)
+        from ..sources.vector_index import VectorIndex
+
+        vectors = VectorIndex(self.items.sparkSession, self.cache_path, self.items, self.of_items).build().vectors()
+        if candidates is not None:
+            return dense.candidate_search(candidates, asked, vectors, k)
+        return dense.search(asked, vectors, k, self.of_items.dimension)
 
 
 class HashingRetriever(EncoderRetriever):

@@ -19,7 +19,24 @@ class Retrieval:
     rrf_k: int = 60
     dense_backend: str = "hashing"
     dense_model: str = "intfloat/e5-small-v2"
+    dense_model_revision: str = "ffb93f3bd4047442299a41ebb6fa998a38507c52"
     dense_batch_size: int = 64
+    #: Texts handed to the model at a time in a worker.
+    multi_process_chunk_size: int = 5_000
+    #: Rows of a file of vectors, rows after which an unfinished index can be resumed, rows between reports.
+    embedding_write_chunk_size: int = 50_000
+    embedding_checkpoint_rows: int = 50_000
+    progress_interval: int = 50_000
+    #: Items that are multiplied with the query vectors at a time (at most; a task takes less if it must).
+    dense_search_chunk_size: int = 50_000
+    preferred_devices: tuple[str, ...] = ("cuda:0", "cuda:1")
+    enable_multi_gpu: bool = True
+    enable_resume: bool = True
+    embedding_dtype: str = "float32"
+    #: Rows of the timed sample before a run (0: none), the limit of its estimate and whether it stops the run.
+    preflight_sample_size: int = 0
+    preflight_timeout_threshold_hours: float = 10.0
+    strict_preflight: bool = False
     dense_query_prefix: str = "query: "
     dense_corpus_prefix: str = "passage: "
     hashing_features: int = 512
@@ -40,6 +57,21 @@ class Run:
     baseline_experiments: tuple[str, ...] = ("sparse__dense", "dense__dense", "combined__dense", "combined__combined")
 
 
+_POSITIVE = {
+    "retrieval": (
+        "document_top_k", "passage_top_k", "rrf_k", "dense_batch_size", "hashing_features", "multi_process_chunk_size", "embedding_write_chunk_size",
+        "embedding_checkpoint_rows", "dense_search_chunk_size", "progress_interval", "preflight_timeout_threshold_hours",
+    ),
+    "evaluation": ("ndcg_k", "recall_k"),
+}
+_CHOICES = {
+    ("retrieval", "fusion"): ("rrf", "interleave"),
+    ("retrieval", "dense_backend"): ("hashing", "sentence_transformers", "model"),
+    ("retrieval", "embedding_dtype"): ("float32", "float16"),
+    ("run", "mode"): ("smoke", "baseline", "full"),
+}
+
+
 @dataclass(frozen=True)
 class Config:
     project_name: str = "lamina"
@@ -49,16 +81,13 @@ class Config:
     run: Run = field(default_factory=Run)
 
     def problems(self) -> list[str]:
-        r, out = self.retrieval, []
-        for name in ("document_top_k", "passage_top_k", "rrf_k", "dense_batch_size", "hashing_features"):
-            if getattr(r, name) <= 0:
-                out.append(f"retrieval.{name} must be positive")
-        for name in ("ndcg_k", "recall_k"):
-            if getattr(self.evaluation, name) <= 0:
-                out.append(f"evaluation.{name} must be positive")
-        for value, known, name in ((r.fusion, ("rrf", "interleave"), "fusion"), (r.dense_backend, ("hashing", "model"), "dense_backend"), (self.run.mode, ("smoke", "baseline", "full"), "run.mode")):
-            if value not in known:
-                out.append(f"{name} is one of {', '.join(known)}")
+        """All that is wrong, each as a message."""
+        out = [f"{section}.{name} must be positive" for section, names in _POSITIVE.items() for name in names if getattr(getattr(self, section), name) <= 0]
+        if self.retrieval.preflight_sample_size < 0:
+            out.append("retrieval.preflight_sample_size must not be negative")
+        for (section, name), known in _CHOICES.items():
+            if getattr(getattr(self, section), name) not in known:
+                out.append(f"{section}.{name} is one of {', '.join(known)}")
         return out
 
     def validate(self) -> "Config":
@@ -89,6 +118,20 @@ def from_mapping(given: Mapping[str, Any], base: Config = Config()) -> Config:
     return replace(base, **parts, **plain).validate()
 
 
+def configured(base: Config = Config(), **overrides: Any) -> Config:
+    """``base`` with single settings replaced by name, whatever their section; None leaves one as it is."""
+    sections = {f.name: name for name in ("retrieval", "evaluation", "run") for f in fields(getattr(base, name))}
+    given: dict[str, Any] = {}
+    for name, value in overrides.items():
+        if value is not None and name in sections:
+            given.setdefault(sections[name], {})[name] = value
+        elif value is not None and name in ("project_name", "seed"):
+            given[name] = value
+        elif value is not None:
+            raise TypeError(f"unknown setting: {name}")
+    return from_mapping(given, base)
+
+
 def load(path: str) -> Config:
     import yaml
 

@@ -12,14 +12,15 @@ experiments that need it. Two profiles differ in what sparse means:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bm25, candidates, dense, fusion
-from ..operators.encoders import Encoder, HashingEncoder, PrefixedEncoder, encode_items
+from ..operators.encoders import Encoder, HashingEncoder, ModelEncoder, PrefixedEncoder, encode_items
 from ..operators.ranking import pad_to_k, ranked
 from ..operators.retrievers import CombinedRetriever, EncoderRetriever, HashingRetriever, Retriever, SparseRetriever
 from ..session import cut
@@ -33,14 +34,43 @@ def encoders(config: Config, encoder: Encoder | None = None) -> tuple[Encoder, E
     """Of items and of queries: the hashing encoder has no prefixes, models have."""
     r = config.retrieval
     if encoder is None:
-        if r.dense_backend != "hashing":
+        if r.dense_backend == "sentence_transformers":
+            encoder = ModelEncoder.sentence_transformer(
+                r.dense_model, r.dense_model_revision, batch_size=r.dense_batch_size, devices=r.preferred_devices, several=r.enable_multi_gpu,
+                chunk=r.multi_process_chunk_size, dtype=r.embedding_dtype,
+            )
+        elif r.dense_backend == "hashing":
+            encoder = HashingEncoder(r.hashing_features)
+        else:
             raise ValueError("a dense_backend of 'model' needs an encoder")
-        encoder = HashingEncoder(r.hashing_features)
     if isinstance(encoder, HashingEncoder):
         return encoder, encoder
     return PrefixedEncoder(encoder, r.dense_corpus_prefix), PrefixedEncoder(encoder, r.dense_query_prefix)
 
 
+#: Makes the dense retriever of a stage from model_name, model_revision, batch_size, query_prefix,
+#: corpus_prefix and cache_path.
+DenseFactory = Callable[..., Retriever]
+
+
+class Stopwatch:
+    """Seconds by what took them."""
+
+    def __init__(self):
+        self.seconds: dict[tuple[str, str], float] = {}
+
+    def cut(self, key: tuple[str, str], plan: Callable[[], DataFrame]) -> DataFrame:
+        began = time.perf_counter()
+        out = cut(plan())
+        self.seconds[key] = self.seconds.get(key, 0.0) + time.perf_counter() - began
+        return out
+
+    def of(self, stage: str, method: str) -> float:
+        """A combined method takes what its parts take, and the fusion."""
+        parts = ("sparse", "dense", "combined") if method == "combined" else (method,)
+        return sum(self.seconds.get((stage, m), 0.0) for m in parts)
+
+
 def needed(methods: Sequence[str]) -> set[str]:
     """Base methods behind the given ones."""
     return {b for m in methods for b in (("sparse", "dense") if m == "combined" else (m,))}
@@ -50,62 +80,78 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def rank_documents(ds: Dataset, config: Config, methods: Sequence[str], profile: str, encoder: Encoder | None = None) -> DataFrame:
+def rank_documents(ds: Dataset, config: Config, methods: Sequence[str], profile: str, encoder: Encoder | None = None, dense_factory: DenseFactory | None = None, watch: Stopwatch | None = None) -> DataFrame:
     """document_method, query_id, item_id, score, rank."""
-    r, queries = config.retrieval, ds.queries.select("query_id", "text")
+    r, queries, watch = config.retrieval, ds.queries.select("query_id", "text"), watch or Stopwatch()
     items = document_texts(ds.documents, ds.passages, r.document_text)
-    base: dict[str, DataFrame] = {}
-    if "sparse" in needed(methods):
-        if profile == "memory":
-            hits = bm25.search(queries, items, r.document_top_k)
-            hits = pad_to_k(hits, queries, "query_id", items, r.document_top_k)
-            base["sparse"] = ranked(hits, ["query_id"], r.document_top_k)
-        else:
-            base["sparse"] = bm25.search(queries, items, r.document_top_k, bm25.FTS)
-    if "dense" in needed(methods):
+
+    def sparse() -> DataFrame:
+        if profile != "memory":
+            return bm25.search(queries, items, r.document_top_k, bm25.FTS)
+        hits = bm25.search(queries, items, r.document_top_k)
+        return ranked(pad_to_k(hits, queries, "query_id", items, r.document_top_k), ["query_id"], r.document_top_k)
+
+    def by_vectors() -> DataFrame:
+        if dense_factory is not None:
+            return build_retriever("dense", config, encoder, dense_factory).fit(items).search(queries, r.document_top_k)
         of_items, of_queries = encoders(config, encoder)
         asked = encode_items(queries.withColumnRenamed("query_id", "item_id"), of_queries).withColumnRenamed("item_id", "query_id")
-        base["dense"] = dense.search(asked, items, r.document_top_k, of_items.dimension, of_items)
-    base = {m: cut(df.select("query_id", *RANKING)) for m, df in base.items()}
+        return dense.search(asked, items, r.document_top_k, of_items.dimension, of_items, r.dense_search_chunk_size)
+
+    plans = {"sparse": sparse, "dense": by_vectors}
+    base = {m: watch.cut(("document", m), lambda m=m: plans[m]().select("query_id", *RANKING)) for m in plans if m in needed(methods)}
     if "combined" in methods:
-        base["combined"] = fusion.fuse([base["sparse"], base["dense"]], r.fusion, r.document_top_k, r.rrf_k)
+        base["combined"] = watch.cut(("document", "combined"), lambda: fusion.fuse([base["sparse"], base["dense"]], r.fusion, r.document_top_k, r.rrf_k).select("query_id", *RANKING))
     return _union([base[m].select(F.lit(m).alias("document_method"), "query_id", *RANKING) for m in methods])
 
 
-def rank_passages(ds: Dataset, config: Config, pairs: DataFrame, methods: Sequence[str], profile: str, encoder: Encoder | None = None) -> DataFrame:
+def rank_passages(ds: Dataset, config: Config, pairs: DataFrame, methods: Sequence[str], profile: str, encoder: Encoder | None = None, dense_factory: DenseFactory | None = None, watch: Stopwatch | None = None) -> DataFrame:
     """document_method, passage_method, query_id, item_id, score, rank over candidate pairs."""
-    r, queries = config.retrieval, ds.queries.select("query_id", "text")
+    r, queries, watch = config.retrieval, ds.queries.select("query_id", "text"), watch or Stopwatch()
     groups = ["document_method", "query_id"]
     items = passage_texts(ds.passages, r.passage_text)
-    base: dict[str, DataFrame] = {}
-    if "sparse" in needed(methods):
+
+    def sparse() -> DataFrame:
         if profile == "memory":
             scored = bm25.scores(queries, items, candidates=pairs)
             hits = pairs.select(*groups, "item_id").distinct().join(scored, ["query_id", "item_id"], "left").fillna(0.0, ["score"])
         else:
             hits = bm25.candidate_scores(queries, candidates.restrict(items, pairs), pairs, groups)
-        base["sparse"] = ranked(hits, groups, r.passage_top_k)
-    if "dense" in needed(methods):
+        return ranked(hits, groups, r.passage_top_k)
+
+    def by_vectors() -> DataFrame:
+        if dense_factory is not None:
+            retriever = build_retriever("dense", config, encoder, dense_factory).fit(items)
+            names = [x.document_method for x in pairs.select("document_method").distinct().collect()]  # at most the three methods
+            return _union([retriever.search(queries, r.passage_top_k, pairs.where(F.col("document_method") == m)).withColumn("document_method", F.lit(m)) for m in sorted(names)])
         of_items, of_queries = encoders(config, encoder)
-        base["dense"] = dense.candidate_text_search(pairs, queries, candidates.restrict(items, pairs), of_items, of_queries, r.passage_top_k, groups)
-    base = {m: cut(df.select(*groups, *RANKING)) for m, df in base.items()}
+        return dense.candidate_text_search(pairs, queries, items, of_items, of_queries, r.passage_top_k, groups)
+
+    plans = {"sparse": sparse, "dense": by_vectors}
+    base = {m: watch.cut(("passage", m), lambda m=m: plans[m]().select(*groups, *RANKING)) for m in plans if m in needed(methods)}
     if "combined" in methods:
-        base["combined"] = fusion.fuse([base["sparse"], base["dense"]], r.fusion, r.passage_top_k, r.rrf_k, groups)
+        base["combined"] = watch.cut(("passage", "combined"), lambda: fusion.fuse([base["sparse"], base["dense"]], r.fusion, r.passage_top_k, r.rrf_k, groups).select(*groups, *RANKING))
     return _union([base[m].select("document_method", F.lit(m).alias("passage_method"), "query_id", *RANKING) for m in methods])
 
 
-def build_retriever(method: str, config: Config, encoder: Encoder | None = None) -> Retriever:
+def build_retriever(method: str, config: Config, encoder: Encoder | None = None, dense_factory: DenseFactory | None = None, cache_path: str | None = None) -> Retriever:
     """The retriever of a method: sparse, dense or combined."""
+    r = config.retrieval
     if method == "sparse":
         return SparseRetriever()
+    if method == "dense" and dense_factory is not None:
+        return dense_factory(
+            model_name=r.dense_model, model_revision=r.dense_model_revision, batch_size=r.dense_batch_size,
+            query_prefix=r.dense_query_prefix, corpus_prefix=r.dense_corpus_prefix, cache_path=cache_path,
+        )
     if method == "dense":
-        of_items, _ = encoders(config, encoder)
+        of_items, of_queries = encoders(config, encoder)
         if isinstance(of_items, HashingEncoder):
             return HashingRetriever(of_items.dimension)
-        return EncoderRetriever(encoder, config.retrieval.dense_query_prefix, config.retrieval.dense_corpus_prefix)
+        return EncoderRetriever(of_items.encoder, r.dense_query_prefix, r.dense_corpus_prefix, cache_path)
     if method == "combined":
-        parts = [build_retriever(m, config, encoder) for m in ("sparse", "dense")]
-        return CombinedRetriever(*parts, config.retrieval.fusion, config.retrieval.rrf_k)
+        parts = [build_retriever(m, config, encoder, dense_factory, cache_path) for m in ("sparse", "dense")]
+        return CombinedRetriever(*parts, r.fusion, r.rrf_k)
     raise ValueError(f"unknown method {method!r}: sparse, dense or combined")
 
 
@@ -130,14 +176,15 @@ class TwoStagePipeline:
         return documents, self.passage_retriever.search(queries, self.passage_top_k, pairs)
 
 
-def hierarchical_search(ds: Dataset, config: Config, experiments: Sequence[str], profile: str = "memory", encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hierarchical_search(ds: Dataset, config: Config, experiments: Sequence[str], profile: str = "memory", encoder: Encoder | None = None, dense_factory: DenseFactory | None = None, watch: Stopwatch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Document rankings, candidate pairs and passage rankings; the last with ``experiment``."""
     if profile not in ("memory", "scalable"):
         raise ValueError(f"unknown profile {profile!r}: memory or scalable")
+    watch = watch or Stopwatch()
     wanted = [e.split("__") for e in experiments]
     doc_methods = list(dict.fromkeys(d for d, _ in wanted))
-    documents = cut(rank_documents(ds, config, doc_methods, profile, encoder))
-    pairs = cut(candidates.expand_to_passages(documents, ds.passages, ["document_method", "query_id"]))
-    passages = rank_passages(ds, config, pairs, list(dict.fromkeys(p for _, p in wanted)), profile, encoder)
+    documents = rank_documents(ds, config, doc_methods, profile, encoder, dense_factory, watch)
+    pairs = watch.cut(("candidates", "all"), lambda: candidates.expand_to_passages(documents, ds.passages, ["document_method", "query_id"]))
+    passages = rank_passages(ds, config, pairs, list(dict.fromkeys(p for _, p in wanted)), profile, encoder, dense_factory, watch)
     passages = passages.withColumn("experiment", F.concat_ws("__", "document_method", "passage_method")).where(F.col("experiment").isin(list(experiments)))
     return documents, pairs, passages

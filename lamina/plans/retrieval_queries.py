@@ -470,7 +470,12 @@ def qrels_last_wins(spark, sf):
     return judgements.last_wins(D.judgements_of(spark, sf))
 
 
-@query("""SELECT count(*) AS n_items, bit_xor(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(31) || coalesce(search_text, '')), 1, 15) AS BIGINT)) AS digest FROM documents""")
+_ROW_HASH = "sha256(coalesce(len(item_id) || ':' || item_id, '-') || coalesce(len(text) || ':' || text, '-'))"
+_SUMS = ", ".join(f"coalesce(sum(CAST(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT)), 0) AS s{i}" for i in range(4))
+
+
+@query(f"""WITH {_DOCS} SELECT n_items, sha256(n_items || ',' || s0 || ',' || s1 || ',' || s2 || ',' || s3) AS digest
+  FROM (SELECT count(*) AS n_items, {_SUMS} FROM (SELECT {_ROW_HASH} AS h FROM I))""")
 def corpus_fingerprint(spark, sf):
     return fingerprint.corpus_fingerprint(_doc_items(spark, sf))
 

@@ -1,8 +1,10 @@
 """A dataset on disk: parquet tables in a folder with a manifest.
 
 Tables are appended to until ``finalize``; from then on the store is read-only. Any folder
-Spark can write to will do: the manifest too is written through Spark's file system, under a
-temporary name that is then renamed.
+Spark can write to will do: the manifest too is written through Spark's file system. Each change is a
+new numbered file, written under a temporary name that is then renamed; the one with the highest
+number counts, so a crash at any point leaves the last complete one. Rows are numbered from 0 in
+order of arrival, without gaps.
 """
 
 from __future__ import annotations
@@ -12,19 +14,20 @@ import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import titled
 from ..operators import bm25, fingerprint, judgements, validate
 from ..operators.ranking import ranked
+from ..session import kept
 from .dataset import Dataset, sorted_json
 
 LEVELS = {"document": ("documents", "doc_id"), "passage": ("passages", "passage_id")}
 _SCHEMAS = {
     "documents": "doc_id string, title string, text string, search_text string, pos bigint",
     "passages": "passage_id string, doc_id string, title string, text string, paragraph_no int, metadata string, search_text string, pos bigint",
-    "queries": "query_id string, text string, metadata string",
+    "queries": "query_id string, text string, metadata string, pos bigint",
     "qrels": "query_id string, passage_id string, score double, metadata string, seq bigint",
 }
 
@@ -32,7 +35,7 @@ _SCHEMAS = {
 class DatasetStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        if not self._exists("manifest.json"):
+        if not self._versions():
             raise FileNotFoundError(f"no dataset store at {path}")
 
     # files
@@ -46,18 +49,23 @@ class DatasetStore:
         fs, place = self._fs(name)
         return fs.exists(place)
 
+    def _versions(self) -> list[int]:
+        fs, place = self._fs("manifest-*.json")
+        found = fs.globStatus(place) or []
+        return sorted(int(f.getPath().getName()[len("manifest-") : -len(".json")]) for f in found)
+
     def _write_manifest(self, manifest: dict[str, Any]) -> None:
-        fs, temporary = self._fs("manifest.json.tmp")
+        fs, temporary = self._fs("manifest.tmp")
         out = fs.create(temporary, True)
         out.write(bytearray(json.dumps(manifest, indent=2, sort_keys=True).encode()))
         out.close()
-        _, place = self._fs("manifest.json")
-        fs.delete(place, False)
-        fs.rename(temporary, place)
+        _, place = self._fs(f"manifest-{max(self._versions(), default=0) + 1:08d}.json")
+        if not fs.rename(temporary, place):
+            raise RuntimeError(f"another writer changed the store at {self.path}")
 
     @property
     def manifest(self) -> dict[str, Any]:
-        fs, place = self._fs("manifest.json")
+        fs, place = self._fs(f"manifest-{self._versions()[-1]:08d}.json")
         stream = fs.open(place)
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
@@ -72,7 +80,7 @@ class DatasetStore:
     def create(cls, spark: SparkSession, path: str, name: str, provenance: dict[str, Any] | None = None) -> "DatasetStore":
         store = cls.__new__(cls)
         store.spark, store.path = spark, path.rstrip("/")
-        if store._exists("manifest.json"):
+        if store._versions():
             raise FileExistsError(f"there is a dataset store at {path}")
         store._write_manifest({"dataset_id": uuid.uuid4().hex, "name": name, "provenance": provenance or {}, "finalized": False, "index": []})
         return store
@@ -93,8 +101,8 @@ class DatasetStore:
         return 0 if last is None else last + 1
 
     def add_documents(self, rows: DataFrame | Iterable[tuple]) -> None:
-        """doc_id, title, text. Positions go on from those in the store; rows of a DataFrame
-        without ``pos`` are numbered by partition and row."""
+        """doc_id, title, text. Rows are numbered on from those in the store, those of a DataFrame by
+        partition and row."""
         df = self._frame(rows, "doc_id string, title string, text string")
         self._append("documents", self._numbered(df, "documents").withColumn("search_text", titled(F.col("title"), F.col("text"))))
 
@@ -108,7 +116,7 @@ class DatasetStore:
     def add_queries(self, rows: DataFrame | Iterable[tuple]) -> None:
         if not isinstance(rows, DataFrame):
             rows = [(*r[:2], sorted_json(r[2] if len(r) > 2 else None)) for r in rows]
-        self._append("queries", self._frame(rows, _SCHEMAS["queries"]))
+        self._append("queries", self._numbered(self._frame(rows, "query_id string, text string, metadata string"), "queries"))
 
     def add_qrels(self, rows: DataFrame | Iterable[tuple]) -> None:
         """Pairs may repeat: reading merges them (highest score, latest metadata)."""
@@ -118,8 +126,15 @@ class DatasetStore:
         self._append("qrels", self._numbered(df, "qrels", "seq"))
 
     def _numbered(self, df: DataFrame, table: str, column: str = "pos") -> DataFrame:
-        """Arrival numbers, increasing by partition and row; without gaps in a single partition."""
-        return df if column in df.columns else df.withColumn(column, F.monotonically_increasing_id() + self._next(table))
+        """Arrival numbers without gaps. The rows are written to the shared folder first, so that
+        counting the rows of each partition and numbering them see the same rows."""
+        at, part, before = "place in the partition", "partition", "rows before"
+        rows = kept(df.drop(column).withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
+        counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias(before))
+        earlier = F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+        offsets = counts.withColumn(before, F.coalesce(earlier, F.lit(0)))
+        number = F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(before) + self._next(table)
+        return rows.join(offsets, part).withColumn(column, number).drop(at, part, before)
 
     def finalize(self, build_passage_index: bool = False) -> "DatasetStore":
         """Checks the data, writes the term index of the documents (and passages), closes the store."""
@@ -142,6 +157,13 @@ class DatasetStore:
     def documents(self) -> DataFrame:
         return self._table("documents")
 
+    def in_order(self, table: str) -> DataFrame:
+        """Rows of a table in order of arrival; judgements once a pair, by their first arrival."""
+        if table != "qrels":
+            return self._table(table).orderBy("pos")
+        first = self._table("qrels").groupBy(*judgements.PAIR).agg(F.min("seq").alias("pos"))
+        return self.qrels.join(first, judgements.PAIR).orderBy("pos").drop("pos")
+
     @property
     def passages(self) -> DataFrame:
         return self._table("passages")
@@ -167,8 +189,8 @@ class DatasetStore:
 
     def iter_items(self, level: str) -> Iterator[tuple[int, str, str]]:
         """Ordered scan with row numbers from 0, one row at a time."""
-        for i, r in enumerate(self.items(level).orderBy("pos").toLocalIterator()):
-            yield i, r.item_id, r.search_text
+        for r in self.items(level).orderBy("pos").toLocalIterator(prefetchPartitions=True):
+            yield r.pos, r.item_id, r.search_text
 
     def items_for_ids(self, level: str, ids: DataFrame | Iterable[str]) -> DataFrame:
         """Known items of the ids, each once; order by ``pos`` for corpus order."""
@@ -209,7 +231,7 @@ class DatasetStore:
         return {"name": m["name"], **validate.summary(self.documents, self.passages, self.queries, self.qrels).first().asDict(), "provenance": m["provenance"]}
 
     def fingerprint(self, level: str) -> dict[str, Any]:
-        return fingerprint.corpus_fingerprint(self.items(level).withColumnRenamed("search_text", "text")).first().asDict()
+        return fingerprint.corpus_fingerprint(self.items(level).withColumnRenamed("search_text", "text"), pos="pos").first().asDict()
 
     def _check(self) -> None:
         problems = [f"no {t}" for t in ("documents", "passages", "queries") if not self._table(t).limit(1).count()]

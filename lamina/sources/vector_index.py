@@ -7,6 +7,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import dense
 from ..operators.encoders import Encoder, encode_items
@@ -16,9 +17,12 @@ from ..operators.fingerprint import corpus_fingerprint
 class VectorIndex:
     """Vectors of ``items`` (item_id, text) in ``path``/vectors, with a manifest beside them."""
 
-    def __init__(self, spark: SparkSession, path: str, items: DataFrame, encoder: Encoder, identity: str = ""):
+    def __init__(self, spark: SparkSession, path: str, items: DataFrame, encoder: Encoder, identity: str = "", checkpoint_rows: int | None = None, file_rows: int = 0, resume: bool = True):
+        """``checkpoint_rows``: an interrupted build loses about so many rows (None: the whole of its one
+        portion). ``file_rows``: most rows of a file (0: no limit). Without ``resume`` an unfinished
+        index is begun anew."""
         self.spark, self.path, self.items, self.encoder, self.identity = spark, path.rstrip("/"), items, encoder, identity
-        self.encoded = 0
+        self.checkpoint_rows, self.file_rows, self.resume = checkpoint_rows, file_rows, resume
 
     def _file(self, name: str):
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -44,20 +48,28 @@ class VectorIndex:
         """What vectors depend on; equal manifests mean equal vectors, across datasets too."""
         return {"encoder": self.encoder.name, "dimension": self.encoder.dimension, "identity": self.identity, **corpus_fingerprint(self.items).first().asDict()}
 
-    def build(self, part_done: Callable[[DataFrame], None] | None = None) -> "VectorIndex":
-        """Encodes what is missing. A finished index of the same manifest is reused; an unfinished
-        one of another manifest is refused, of the same one completed (anti-join on item_id)."""
+    def build(self, part_done: Callable[[int, int], None] | None = None) -> "VectorIndex":
+        """Encodes what is missing, portion by portion (items split by hash), each a distributed job
+        after which ``part_done(portions done, portions)`` is called. A finished index of the same
+        manifest is reused; an unfinished one of another manifest is refused, of the same one completed."""
         want, done, begun = self.expected(), self._read("manifest.json"), self._read("progress.json")
         if done == want:
             return self
-        if begun is not None and begun != want:
+        if begun is not None and begun != want and self.resume:
             raise ValueError(f"an unfinished index of other contents lies in {self.path}")
         todo, mode = self.items, "overwrite"
         fs, place = self._file("vectors/_SUCCESS")
-        if begun is not None and fs.exists(place):
+        if begun is not None and self.resume and fs.exists(place):
             todo, mode = self.items.join(self.vectors(check=False).select("item_id"), "item_id", "left_anti"), "append"
         self._write("progress.json", want)
-        encode_items(todo, self.encoder).write.mode(mode).parquet(f"{self.path}/vectors")
+        portions = max(1, -(-want["n_items"] // self.checkpoint_rows)) if self.checkpoint_rows else 1
+        for i in range(portions):
+            part = todo if portions == 1 else todo.where(F.pmod(F.xxhash64("item_id"), F.lit(portions)) == i)
+            writer = encode_items(part, self.encoder).write.mode(mode)
+            (writer.option("maxRecordsPerFile", self.file_rows) if self.file_rows else writer).parquet(f"{self.path}/vectors")
+            mode = "append"
+            if part_done is not None:
+                part_done(i + 1, portions)
         n = self.vectors(check=False).count()
         if n != want["n_items"]:
             raise RuntimeError(f"{n} vectors for {want['n_items']} items")

@@ -128,6 +128,135 @@ def test_config(tmp_path):
     assert Config().experiments() == list(Config().run.smoke_experiments)
 
 
+STANDARD = """
+project_name: standard
+seed: 42
+retrieval:
+  document_top_k: 20
+  passage_top_k: 100
+  fusion: rrf
+  rrf_k: 60
+  dense_backend: sentence_transformers
+  dense_model: intfloat/e5-small-v2
+  dense_model_revision: ffb93f3bd4047442299a41ebb6fa998a38507c52
+  dense_batch_size: 64
+  multi_process_chunk_size: 5000
+  embedding_write_chunk_size: 50000
+  embedding_checkpoint_rows: 50000
+  dense_search_chunk_size: 50000
+  preferred_devices: ["cuda:0", "cuda:1"]
+  enable_multi_gpu: true
+  enable_resume: true
+  embedding_dtype: float32
+  preflight_sample_size: 0
+  preflight_timeout_threshold_hours: 10.0
+  strict_preflight: false
+  progress_interval: 50000
+  dense_query_prefix: "query: "
+  dense_corpus_prefix: "passage: "
+evaluation: {ndcg_k: 10, recall_k: 100}
+run: {mode: smoke}
+"""
+
+
+def test_standard_configuration_and_all_problems_together(tmp_path):
+    from lamina.plans.config import configured
+
+    (tmp_path / "c.yaml").write_text(STANDARD)
+    c = load(f"{tmp_path}/c.yaml")
+    assert c.retrieval.dense_backend == "sentence_transformers" and c.retrieval.preferred_devices == ("cuda:0", "cuda:1")
+    bad = {"document_top_k": 0, "fusion": "x", "rrf_k": 0, "dense_backend": "x", "dense_batch_size": 0, "progress_interval": 0, "preflight_sample_size": -1, "preflight_timeout_threshold_hours": 0, "embedding_dtype": "x"}
+    with pytest.raises(ValueError) as e:
+        from_mapping({"retrieval": bad, "evaluation": {"ndcg_k": 0}, "run": {"mode": "x"}})
+    assert all(name in str(e.value) for name in (*bad, "ndcg_k", "run.mode"))
+    assert configured(c, mode="full", rrf_k=5, seed=1, fusion=None).retrieval.rrf_k == 5
+    with pytest.raises(TypeError):
+        configured(c, nothing=1)
+
+
+class Model:
+    """Stands for a sentence-embedding model."""
+
+    def __init__(self, device):
+        self.device = device
+
+    def get_embedding_dimension(self):
+        return 2
+
+    def encode(self, texts, batch_size, normalize_embeddings):
+        assert len(texts) <= 3
+        return np.array([[len(t) / 3, 1.0] for t in texts])
+
+
+def test_model_encoder_devices_and_precision(spark):
+    from lamina.operators.encoders import ModelEncoder, encode_items, worker_device
+
+    e = ModelEncoder("m", Model, devices=("cuda:9",), chunk=3, dtype="float16")
+    assert e.dimension == 2 and e.encode(["a"] * 7).shape == (7, 2) and e.encode([]).shape == (0, 2)
+    assert e.encode(["a"])[0, 0] == np.float32(np.float16(1 / 3))
+    assert worker_device(("cuda:1", "cuda:0"), available=("cuda:0", "cuda:1")) == "cuda:1" and worker_device(("cuda:1",), available=("cpu",)) == "cpu"
+    items = spark.createDataFrame([("a", "x"), ("b", "xyz")], "item_id string, text string")
+    assert {r.item_id: r.embedding[1] for r in encode_items(items, e).collect()} == {"a": 1.0, "b": 1.0}
+    with pytest.raises((RuntimeError, OSError)):
+        ModelEncoder.sentence_transformer("no/model", "rev").encode(["x"])
+
+
+def test_dense_factory_and_cached_vectors(spark, tmp_path):
+    from lamina.operators.retrievers import EncoderRetriever
+
+    asked = []
+
+    def factory(**settings):
+        asked.append(settings)
+        return EncoderRetriever(Fruit(), settings["query_prefix"], settings["corpus_prefix"])
+
+    ds = D.from_rows(spark, [("d1", "A", "apple"), ("d2", "B", "banana")], [("p1", "d1", "", "apple"), ("p2", "d2", "", "banana")], [("q", "banana")], [("q", "p2", 1.0)])
+    report = benchmark.run(ds, Config(retrieval=Retrieval(document_top_k=1, passage_top_k=1)), experiments=["dense__dense"], dense_factory=factory)
+    assert report.leaderboard.first()["passage_ndcg@10"] == 1.0 and asked[0]["model_revision"] == Retrieval().dense_model_revision
+    items = ds.passages.selectExpr("passage_id AS item_id", "text")
+    pairs = spark.createDataFrame([("q", "p1")], "query_id string, item_id string")
+    for _ in range(2):
+        cached = EncoderRetriever(Fruit(), cache_path=f"{tmp_path}/v").fit(items)
+        assert cached.search(ds.queries, 1).first().item_id == "p2" and cached.search(ds.queries, 1, pairs).first().item_id == "p1"
+
+
+def test_positions_without_gaps_and_order(spark, tmp_path):
+    store = DatasetStore.create(spark, f"{tmp_path}/s", "many")
+    for begin in (0, 40):
+        store.add_documents(spark.range(begin, begin + 40, numPartitions=7).selectExpr("concat('d', id) AS doc_id", "'t' AS title", "'x' AS text"))
+    store.add_queries([("q2", "b"), ("q1", "a")])
+    store.add_queries([("q0", "c")])
+    store.add_passages([("p", "d1", "", "x")])
+    store.add_qrels([("q2", "p", 1.0), ("q1", "p", 1.0), ("q2", "p", 3.0)])
+    assert [(i, d) for i, d, _ in store.iter_items("document")] == [(i, f"d{i}") for i in range(80)]
+    assert [r.query_id for r in store.in_order("queries").collect()] == ["q2", "q1", "q0"]
+    assert [(r.query_id, r.score) for r in store.in_order("qrels").collect()] == [("q2", 3.0), ("q1", 1.0)]
+    assert sorted(f.name for f in (tmp_path / "s").glob("manifest*")) == ["manifest-00000001.json"]
+    assert store.finalize().finalized and (tmp_path / "s/manifest-00000002.json").exists()
+
+
+def test_index_in_portions(spark, tmp_path):
+    items = spark.range(50).selectExpr("concat('i', id) AS item_id", "if(id % 2 = 0, 'apple', 'banana') AS text")
+    done = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(i, n):
+        done.append((i, n))
+        if len(done) == 2:
+            raise Stop
+
+    with pytest.raises(Stop):
+        VectorIndex(spark, f"{tmp_path}/v", items, Fruit(), checkpoint_rows=10, file_rows=4).build(stop)
+    index = VectorIndex(spark, f"{tmp_path}/v", items, Fruit(), checkpoint_rows=10).build(lambda i, n: done.append((i, n)))
+    assert done[:2] == [(1, 5), (2, 5)] and index.vectors().count() == 50 and index.vectors().distinct().count() == 50
+
+
+def test_duration():
+    assert [benchmark.duration(s) for s in (-1, 9.9, 187, 7500)] == ["0s", "9s", "3m 07s", "2h 05m"]
+
+
 def test_two_stages_on_synthetic_data(spark):
     ds = D.synthetic(spark)
     _, _, passages = hierarchical_search(ds, SMALL, ["sparse__sparse"])
@@ -171,6 +300,11 @@ def test_whole_run_and_artifacts(spark, tmp_path):
     names = zipfile.ZipFile(report.archive).namelist()
     assert {"leaderboard.csv", "config.json", "dataset_summary.json", "grouped_metrics.json", "candidate_audit.json", "environment.json"} <= set(names)
     assert json.load(open(f"{tmp_path}/{report.run_id}/dataset_summary.json"))["documents"] == 3
+    assert {"latency.json", "preflight.json", "dense__sparse/metrics.json", "combined__dense/experiment.json"} <= set(names)
+    assert all(r.latency_ms > 0 for r in report.per_query.collect()) and "latency_ms" in report.leaderboard.columns and report.latency.count() == 9
+    assert spark.read.json(f"{tmp_path}/{report.run_id}/retrieval_runs").columns[:3] == ["item_id", "query_id", "rank"]
+    with pytest.raises(RuntimeError, match="would take"):
+        benchmark.run(D.synthetic(spark), SMALL, experiments=["dense__dense"], preflight_sample_size=2, preflight_timeout_threshold_hours=1e-12, strict_preflight=True)
     with pytest.raises(ValueError):
         benchmark.run(D.from_rows(spark, [("d", "", "x")], [("p", "d", "", "x")], [("q", "x")], []), SMALL)
 
@@ -214,7 +348,11 @@ def test_fingerprints(spark):
     a = spark.createDataFrame([("1", "x"), ("2", None)], "item_id string, text string")
     assert corpus_fingerprint(a).first() == corpus_fingerprint(a.orderBy("item_id", ascending=False)).first()
     assert corpus_fingerprint(a).first() != corpus_fingerprint(a.fillna("y")).first()
-    assert corpus_fingerprint(a.limit(0)).first() == (0, 0)
+    assert corpus_fingerprint(a.limit(0)).first().n_items == 0
+    pairs = [spark.createDataFrame([(k, "x") for k in keys], "item_id string, text string") for keys in ("aab", "ccb")]
+    assert len({corpus_fingerprint(p).first().digest for p in pairs}) == 2  # repeated rows do not cancel
+    order = [spark.createDataFrame([(k, "x", i) for i, k in enumerate(keys)], "item_id string, text string, pos int") for keys in ("ab", "ba")]
+    assert len({corpus_fingerprint(o, pos="pos").first().digest for o in order}) == 2 and len({corpus_fingerprint(o).first().digest for o in order}) == 1
     assert ordered_fingerprint(["a", "b"]) != ordered_fingerprint(["b", "a"]) != ordered_fingerprint(["ba"])
 
 
