@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import bm25, candidates, dense, fingerprint, fusion, hashing, judgements, metrics, validate
 from ..operators.encoders import HashingEncoder, encode_items
 from ..operators.ranking import pad_to_k, ranked
+from ..session import cut
 from ..sources import dataset as D
 from ..sources.tables import read_table
 from . import benchmark
@@ -81,12 +82,6 @@ def tokenize_words(spark, sf):
     return read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.size(w).cast("bigint").alias("n_words"), F.size(F.array_distinct(w)).cast("bigint").alias("n_terms"))
 
 
-@query()
-def tokenize_folded(spark, sf):
-    """Needs full case folding and decomposition, which SQL lacks."""
-    return read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("item_id"), T.folded_words("search_text").alias("words"))
-
-
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS item_id, array_to_string({_INDEX_WORDS.format('search_text')}, ' ') AS words FROM documents")
 def tokenize_index(spark, sf):
     return read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.array_join(T.index_words(F.col("search_text")), " ").alias("words"))
@@ -165,7 +160,8 @@ def bm25_doc_topk(spark, sf):
 
 
 def _passage_candidates(spark, sf):
-    return candidates.expand_to_passages(_sparse_documents(spark, sf), D.passages_of(spark, sf))
+    """Computed once: candidates are read for scores, statistics and filling up."""
+    return cut(candidates.expand_to_passages(_sparse_documents(spark, sf), D.passages_of(spark, sf)))
 
 
 def _two_stage_sql(second: str) -> str:
@@ -205,12 +201,6 @@ def bm25_passage_candidate_plain(spark, sf):
     return _candidate_bm25(spark, sf, PLAIN_CANDIDATES)
 
 
-@query()
-def bm25_passage_candidate(spark, sf):
-    """Candidate statistics with folded words, which SQL lacks."""
-    return _candidate_bm25(spark, sf, bm25.CANDIDATES)
-
-
 @query(f"WITH {_DOCS}, {_Q}, {_bm25_sql(_INDEX_WORDS, 1.2, True)} {_top('SC', DOC_K, digits=9)}")
 def fts_bm25_doc_topk(spark, sf):
     hits = bm25.search(_asked(spark, sf), _doc_items(spark, sf), DOC_K, bm25.FTS)

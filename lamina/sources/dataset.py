@@ -72,7 +72,8 @@ def from_rows(spark: SparkSession, documents: Iterable, passages: Iterable, quer
 
 def first_delivery(df: DataFrame, key: str, time: str, *then: str) -> DataFrame:
     """Of each key the row with the earliest time (nulls last); null and blank keys are dropped."""
-    rows = df.where(f"trim({key}) <> ''").withColumn(key, F.trim(F.col(key)))
+    # partitioned before the window, or each side of the shuffle would sort whole rows
+    rows = df.where(f"trim({key}) <> ''").withColumn(key, F.trim(F.col(key))).repartition(key)
     w = Window.partitionBy(key).orderBy(F.col(time).asc_nulls_last(), *then)
     return rows.withColumn("delivery", F.row_number().over(w)).where("delivery = 1").drop("delivery")
 
