@@ -51,8 +51,15 @@ def fold(text: str) -> str:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def folded_words(text: pd.Series) -> pd.Series:
-    return pd.Series([_FOLDED.findall((t.lower() if t.isascii() else fold(t))) if t else [] for t in text], dtype=object)
+def _folded_words(text: pd.Series) -> pd.Series:
+    return pd.Series([_FOLDED.findall(fold(t)) if t else [] for t in text], dtype=object)
+
+
+def folded_words(text: Column | str) -> Column:
+    """Texts of ASCII alone never leave the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
+    ascii_only = text.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(ascii_only, F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).otherwise(_folded_words(F.when(~ascii_only, text)))
 
 
 @lru_cache(1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from . import dense
 
 
 def hash_vectors(items: DataFrame, dimension: int = 512) -> DataFrame:
@@ -21,9 +22,16 @@ def hash_vectors(items: DataFrame, dimension: int = 512) -> DataFrame:
     return entries.select("item_id", "bucket", (F.col("value") / size).alias("value"))
 
 
-def sparse_dot(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, item_id, score of vectors in entries: an equi-join on the bucket.
+def dense_vectors(entries: DataFrame, dimension: int = 512) -> DataFrame:
+    """item_id, embedding (array<float>) of entries (item_id, bucket, value); an item has at most
+    ``dimension`` of them."""
+    values = entries.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+    at = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")
+    return values.select("item_id", F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dimension - 1).cast("bigint")), at).alias("embedding"))
 
-    ``queries``: query_id, bucket, value; ``items``: item_id, bucket, value."""
-    joined = items.join(queries.select("query_id", "bucket", F.col("value").alias("asked")), "bucket")
-    return joined.groupBy("query_id", "item_id").agg(F.sum(F.col("value") * F.col("asked")).alias("score"))
+
+def search(queries: DataFrame, items: DataFrame, k: int, dimension: int = 512) -> DataFrame:
+    """query_id, item_id, score, rank: the k nearest items (item_id, text) of every query (query_id,
+    text), by blocks of query vectors; texts without entries take no part."""
+    asked = dense_vectors(hash_vectors(queries.select(F.col("query_id").alias("item_id"), "text"), dimension), dimension)
+    return dense.search(asked.withColumnRenamed("item_id", "query_id"), dense_vectors(hash_vectors(items, dimension), dimension), k, dimension)

@@ -8,9 +8,10 @@ family. Distinct referenced keys are as-of matched to the preceding run start in
 run, or a key beyond its end, is a missing target. A reference to a present key may be late only
 if the run's latest time lies after the key's earliest reference; those keys alone are looked up.
 
-Only distinct keys take part in the match; references are aggregated per key before any shuffle,
-and the few keys in question are joined back to their references over salts, so a
-key that holds a third of all references is no single task's burden.
+Only distinct keys take part in the match; references are aggregated and counted per key before any
+shuffle. The keys in question are kept as a table and joined back to their references by frequency:
+hot keys meet a bounded broadcast, so a key that holds a third of all references is no single task's
+burden, and nothing is repeated for it.
 
 Keys compare after removing outer spaces and lower-casing; a null or then empty key is no
 reference and no target. A deletion wins over a row that remains. A null time of the reference
@@ -23,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import salted_join
+from ..session import kept
+from .skew import frequency_join
 
 BLOCK = 1 << 16
 _PLACE = ["target_table", "family", "width", "block"]
@@ -89,15 +91,15 @@ def dangling_references(references: DataFrame, targets: DataFrame, deleted: Data
     refs = references.select(
         "ref_table", "ref_field", "ref_key", "target_table", plain_key(F.col("key")).alias("key"), F.col("time").cast("timestamp_ntz").alias("ref_time")
     ).where("key IS NOT NULL")
-    asked = refs.groupBy("target_table", "key").agg(F.min("ref_time").alias("earliest"))
+    asked = refs.groupBy("target_table", "key").agg(F.min("ref_time").alias("earliest"), F.count(F.lit(1)).alias("n"))
     matched = as_of_runs(asked, key_runs(keys))
     sure = matched.where("run IS NULL OR run.deleted").select(
-        "target_table", "key", F.when(F.col("run").isNull(), "missing").otherwise("deleted").alias("state"), F.lit(None).cast("timestamp_ntz").alias("target_time")
+        "target_table", "key", "n", F.when(F.col("run").isNull(), "missing").otherwise("deleted").alias("state"), F.lit(None).cast("timestamp_ntz").alias("target_time")
     )
-    maybe = matched.where("NOT run.deleted AND run.latest > earliest").select("target_table", "key", "earliest")
+    maybe = matched.where("NOT run.deleted AND run.latest > earliest").select("target_table", "key", "n", "earliest")
     late = maybe.join(keys.select("target_table", "key", F.col("time").alias("target_time")), ["target_table", "key"]).where("target_time > earliest")
-    problems = sure.unionByName(late.select("target_table", "key", F.lit("late").alias("state"), "target_time"))
-    found = salted_join(refs, problems, ["target_table", "key"], ["ref_table", "ref_field", "ref_key"]).where("state <> 'late' OR target_time > ref_time")
+    problems = sure.unionByName(late.select("target_table", "key", "n", F.lit("late").alias("state"), "target_time"))
+    found = frequency_join(refs, kept(problems), ["target_table", "key"], "n").where("state <> 'late' OR target_time > ref_time")
     return found.select("ref_table", "ref_field", "ref_key", "state", F.coalesce(F.date_format("ref_time", "yyyy-MM"), F.lit("unknown")).alias("ref_month"))
 
 

@@ -24,11 +24,12 @@ def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequen
     return a.join(b, [*keys, SALT], how).drop(SALT)
 
 
-def frequency_join(many: DataFrame, few: DataFrame, key: str, count: str, share: int = HOT_SHARE) -> DataFrame:
+def frequency_join(many: DataFrame, few: DataFrame, key: str | Sequence[str], count: str, share: int = HOT_SHARE) -> DataFrame:
     """``many`` joined with ``few``, which has one row a ``key`` and in ``count`` how many rows of
     ``many`` have it. Rows of hot keys meet a broadcast of at most ``share`` rows and are not
-    shuffled; all others are joined by key, where none is hot."""
+    shuffled; all others are joined by key, where none is hot. ``few`` is read several times."""
+    keys = [key] if isinstance(key, str) else list(key)
     total = few.agg(F.coalesce(F.sum(count), F.lit(0))).scalar()
     hot_count = F.col(count) * share >= total
     hot = F.broadcast(few.where(hot_count))
-    return many.join(hot, key).unionByName(many.join(hot.select(key), key, "left_anti").join(few.where(~hot_count), key))
+    return many.join(hot, keys).unionByName(many.join(hot.select(*keys), keys, "left_anti").join(few.where(~hot_count), keys))

@@ -175,8 +175,15 @@ def test_sparse_hash_vectors_are_unit(spark):
     items = frame(spark, [("a", "one two two"), ("b", None), ("c", "")], "item_id string, text string")
     v = hashing.hash_vectors(items, 64)
     assert v.groupBy("item_id").agg(F.round(F.sum(F.col("value") ** 2), 9).alias("s")).collect() == [("a", 1.0)]
-    same = hashing.sparse_dot(v.withColumnRenamed("item_id", "query_id"), v).first()
-    assert same.score == pytest.approx(1.0)
+    assert [len(r.embedding) for r in hashing.dense_vectors(v, 64).collect()] == [64]
+    got = hashing.search(frame(spark, [("q", "two one two"), ("none", "")], "query_id string, text string"), items, 3, 64).collect()
+    assert [(r.query_id, r.item_id, r["rank"]) for r in got] == [("q", "a", 1)] and got[0].score == pytest.approx(1.0, abs=1e-6)
+
+
+def test_folded_words_of_ascii_and_other_texts_agree(spark):
+    texts = ["The cat_SAT on 42 mats", "İstanbul cafe\u0301 ﬁn", "", None, "tab\tline\nend\n", "ﬁ", "K2", "½ a"]
+    got = frame(spark, [(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.folded_words("t").alias("w")).collect()
+    assert {r.i: r.w for r in got} == {i: T._FOLDED.findall(T.fold(t)) if t else [] for i, t in enumerate(texts)}
 
 
 def test_judgements(spark):
