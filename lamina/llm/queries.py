@@ -166,6 +166,15 @@ S AS (SELECT *, {_shape_sql('text')} AS shape FROM R WHERE text <> ''),
 M AS (SELECT * FROM S WHERE regexp_matches(shape, '\\S') QUALIFY min(text) OVER (PARTITION BY table_name, shape) <> max(text) OVER (PARTITION BY table_name, shape))
 """
 
+def _word_runs_sql(table: str, key: str) -> str:
+    """Key and every twelve words in a row of a table's text, in lower case and folded."""
+    words = f"regexp_extract_all({_shape_sql('lower(text)')}, " + r"'[\p{L}\p{N}]+')"
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i : i + {leaks.MIN_WORDS - 1}], ' ') AS run
+      FROM (SELECT {key}, w, unnest(range(1, len(w) - {leaks.MIN_WORDS - 2})) AS i FROM (SELECT {key}, {words} AS w FROM {table} WHERE {key} IS NOT NULL))"""
+
+
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_word_runs_sql('documents', 'doc_id')}) JOIN ({_word_runs_sql('benchmark', 'item_id')}) USING (run)"
+
 _IDEAL = """
 WITH S AS (SELECT query_id, retriever AS r, item_id, max(score) AS s FROM ranking WHERE item_level = 'passage' AND query_id IS NOT NULL AND retriever IS NOT NULL
   AND item_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
@@ -196,6 +205,8 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _IDEAL + """, B AS (SELECT query_id, r, item_id FROM S QUALIFY row_number() OVER (PARTITION BY query_id, r ORDER BY s DESC, item_id) = 1),
             A AS (SELECT DISTINCT query_id FROM (SELECT query_id, item_id FROM B GROUP BY 1, 2 HAVING count(*) >= 3))
             SELECT query_id, item_id FROM P JOIN A USING (query_id) WHERE rank = 1""",
+        "p8_found": _LEAKS,
+        "p8_clean": f"SELECT doc_id, source, n_chars FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM ({_LEAKS}))",
         "p3_sample": f"""
             WITH b AS (SELECT CAST(range AS BIGINT) AS bucket,
                        row_number() OVER (ORDER BY md5('{sample.SEED}:' || range), range) AS bucket_place
