@@ -17,7 +17,7 @@ Ties: more first places in unclipped scores, then identifier. Nulls, NaN and rep
 
 Places come from ``ranking.numbered``, which spreads a group over tasks by ranges; the other
 statistics are partial aggregates, and joins back to the rows are salted. Normalised scores are
-taken as whole billionths, so sums of squares are exact and no ranking depends on partitioning.
+taken as whole multiples of 1e-8, so sums of squares are exact and no ranking depends on partitioning.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from ..operators.skew import salted_join
 from ..session import kept
 from .topn import best_by_item
 
-#: Normalised scores are whole multiples of 1 / UNIT.
-UNIT = 10**9
+#: Normalised scores are whole multiples of 1 / UNIT; sums of squares of 900 sources fit 64 bits (more raise an error).
+UNIT = 10**8
 
 
 def source_bounds(best: DataFrame, group: str, source: str) -> DataFrame:
@@ -62,8 +62,8 @@ def closeness(df: DataFrame, group: str, source: str, item: str, score: str, wei
     weight = F.lit(1.0 / most)
     for name, w in (weights or {}).items():
         weight = F.when(F.col(source) == name, F.lit(float(w) / most)).otherwise(weight)
-    whole = lambda v: F.round(v * UNIT).cast("decimal(38,0)")
-    square = lambda c: (c * c).cast("decimal(38,0)")
+    whole = lambda v: F.round(v * UNIT).cast("bigint")
+    square = lambda c: c * c
     scaled = norms.select(group, source, "width", F.when(F.col("norm") > 0, weight / F.col("norm")).otherwise(0.0).alias("scale"))
     full = scaled.groupBy(group).agg(F.sum(square(whole(F.col("width") * F.col("scale")))).alias("full"))
     rows = salted_join(clipped.drop("width"), scaled, [group, source], ["item_id"]).select(group, "item_id", "first", whole(F.col("x") * F.col("scale")).alias("v"), whole(F.col("width") * F.col("scale")).alias("span"))

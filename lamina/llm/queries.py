@@ -185,8 +185,8 @@ X AS (SELECT query_id, r, max(s) AS top,
   FROM O GROUP BY query_id, r, n),
 C AS (SELECT query_id, r, item_id, s >= top AS first, hi - least(lo, hi) AS width, greatest(least(lo, hi), least(hi, s)) - least(lo, hi) AS x FROM S JOIN X USING (query_id, r)),
 K AS (SELECT query_id, r, any_value(width) AS width, CASE WHEN sqrt(sum(x * x)) > 0 THEN 1.0 / sqrt(sum(x * x)) ELSE 0 END AS scale FROM C GROUP BY 1, 2),
-V AS (SELECT query_id, item_id, first, CAST(round(x * scale * 1e9) AS HUGEINT) AS v, CAST(round(K.width * scale * 1e9) AS HUGEINT) AS span FROM C JOIN K USING (query_id, r)),
-F AS (SELECT query_id, sum(CAST(round(width * scale * 1e9) AS HUGEINT) * CAST(round(width * scale * 1e9) AS HUGEINT)) AS whole FROM K GROUP BY 1),
+V AS (SELECT query_id, item_id, first, CAST(round(x * scale * 1e8) AS HUGEINT) AS v, CAST(round(K.width * scale * 1e8) AS HUGEINT) AS span FROM C JOIN K USING (query_id, r)),
+F AS (SELECT query_id, sum(CAST(round(width * scale * 1e8) AS HUGEINT) * CAST(round(width * scale * 1e8) AS HUGEINT)) AS whole FROM K GROUP BY 1),
 I AS (SELECT query_id, item_id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS far, sum((span - v) * (span - v) - span * span) AS missing, count(*) FILTER (first) AS firsts FROM V GROUP BY 1, 2),
 D AS (SELECT query_id, item_id, firsts, far, sqrt(CAST(whole + missing AS DOUBLE)) AS ideal FROM I JOIN F USING (query_id)),
 Z AS (SELECT query_id, item_id, firsts, round(CASE WHEN far + ideal > 0 THEN far / (far + ideal) ELSE 0.5 END, 9) AS closeness FROM D),
