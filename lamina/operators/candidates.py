@@ -7,17 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import salted_join
-
 
 def expand_to_passages(documents: DataFrame, passages: DataFrame, groups: Sequence[str] = ("query_id",)) -> DataFrame:
     """groups..., item_id (passage), doc_id, doc_rank, pos: the passages of ranked documents.
 
-    Documents without passages vanish; a document ranked twice counts once, at its best rank. The
-    passages of a document are spread over tasks."""
+    Documents without passages vanish; a document ranked twice counts once, at its best rank. Rankings
+    outgrow the passages with the queries, so neither side is repeated over salts: adaptive execution
+    splits the tasks of documents with most passages or queries."""
     best = documents.groupBy(*groups, F.col("item_id").alias("doc_id")).agg(F.min("rank").alias("doc_rank"))
     own = passages.select("doc_id", F.col("passage_id").alias("item_id"), "pos")
-    return salted_join(own, best, ["doc_id"], ["item_id"]).select(*groups, "item_id", "doc_id", "doc_rank", "pos")
+    return own.join(best, "doc_id").select(*groups, "item_id", "doc_id", "doc_rank", "pos")
 
 
 def candidate_order(candidates: DataFrame, groups: Sequence[str] = ("query_id",), by_document: bool = True) -> DataFrame:

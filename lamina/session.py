@@ -88,3 +88,9 @@ def spread(df: DataFrame) -> DataFrame:
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * split
     return df.repartition(cores) if 0 < files < cores and small else df
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as there are cores at most, without a shuffle; for tasks that each return k
+    rows a query however few items they read."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)

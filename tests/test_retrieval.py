@@ -294,3 +294,52 @@ def test_written_index(spark, tmp_path):
     one = q.where("query_id = 'q1'")
     got = {r.item_id: r.score for r in bm25.search_index(one, f"{tmp_path}/i", bm25.FTS).collect()}
     assert got == pytest.approx({r.item_id: r.score for r in bm25.scores(one, items, bm25.FTS).collect()})
+
+
+def test_best_keeps_only_what_reaches_the_limit():
+    from lamina.operators.topk import BestK
+
+    best, ids = BestK(3, 4), np.array([f"i{n:03d}" for n in range(200)], dtype=object)
+    best.add(ids, np.tile(np.arange(200.0), (3, 1)))
+    before = best.waiting
+    best.add(np.array([f"j{n:03d}" for n in range(200)], dtype=object), np.tile(np.arange(200.0) - 500, (3, 1)))
+    assert best.waiting == before and best.result()[2].tolist() == ["i199", "i198", "i197", "i196"] * 3
+
+
+def test_few_entries_need_few_blocks(spark, monkeypatch):
+    """Vectors of hashed words go out by their entries, so items are read and encoded once for many queries."""
+    vectors = np.eye(512, dtype=np.float32)[:40]
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(vectors)], "query_id string, embedding array<float>")
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 8 * 512)
+    assert len(list(dense._blocks(asked, 512, 20))) == 1
+    items = spark.createDataFrame([(f"i{i:02d}", v.tolist()) for i, v in enumerate(vectors)], "item_id string, embedding array<float>")
+    assert {r.query_id: r.item_id for r in dense.search(asked, items, 1, 512).collect()} == {f"q{i}": f"i{i:02d}" for i in range(40)}
+
+
+def test_candidate_scores_over_batches_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(12)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    q = spark.createDataFrame([(f"q{i}", text(4)) for i in range(9)] + [("none", "")], "query_id string, text string")
+    items = spark.createDataFrame([(f"i{i:02d}", text(int(rng.integers(0, 9)))) for i in range(30)], "item_id string, text string")
+    rows = [(m, f"q{i}", f"i{int(j):02d}") for m in ("a", "b") for i in range(9) for j in rng.choice(33, 12)] + [("a", "none", "i01")]
+    pairs, groups = spark.createDataFrame(rows, "method string, query_id string, item_id string"), ["method", "query_id"]
+    want = {}
+    asked, texts = {r.query_id: set(r.text.split()) for r in q.collect()}, {r.item_id: r.text.split() for r in items.collect()}
+    for g in {r[:2] for r in rows}:
+        own = sorted({r[2] for r in rows if r[:2] == g and r[2] in texts})
+        mean = sum(len(texts[i]) for i in own) / len(own) or 1.0
+        for i in own:
+            score = 0.0
+            for t in asked[g[1]]:
+                df, tf = sum(t in texts[o] for o in own), texts[i].count(t)
+                score += math.log1p((len(own) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(texts[i]) / mean))
+            if score > 0:
+                want[*g, i] = round(score, 9)
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = bm25.candidate_scores(q, items, pairs, groups).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {(r.method, r.query_id, r.item_id): round(r.score, 9) for r in got} == want
