@@ -221,9 +221,15 @@ class DatasetStore:
         self._level(level)
         if level not in self.manifest["index"]:
             raise RuntimeError(f"the store has no {level} index")
-        hits = bm25.search_index(queries, f"{self.path}/index_{level}", bm25.FTS, candidates)
+        index, items = f"{self.path}/index_{level}", self.items(level).withColumnRenamed("search_text", "text")
+        if candidates is None:  # only the k best become rows
+            hits = bm25.best_of_index(queries, index, k, bm25.FTS)
+            if hits is None:
+                hits = bm25.search(queries, items, k, bm25.FTS)
+            return hits.select("query_id", "item_id", "score", "rank")
+        hits = bm25.search_index(queries, index, bm25.FTS, candidates)
         if hits is None:
-            hits = bm25.scores(queries, self.items(level).withColumnRenamed("search_text", "text"), bm25.FTS, candidates)
+            hits = bm25.scores(queries, items, bm25.FTS, candidates)
         return ranked(hits.select("query_id", "item_id", "score"), ["query_id"], k)
 
     def summary(self) -> dict[str, Any]:

@@ -343,3 +343,21 @@ def test_candidate_scores_over_batches_and_blocks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(want) and {(r.method, r.query_id, r.item_id): round(r.score, 9) for r in got} == want
+
+
+def test_best_of_index_makes_no_rows_of_other_scores(spark, tmp_path, monkeypatch):
+    rnd = random.Random(4)
+    items = frame(spark, [(f"i{n:03}", " ".join(rnd.choices(["aa", "bb", "cc", "dd", "ee"], k=rnd.randrange(0, 9))) or None) for n in range(90)], "item_id string, text string").repartition(3)
+    q = frame(spark, [(f"q{n}", " ".join(rnd.choices(["aa", "bb", "zz"], k=3))) for n in range(7)], "query_id string, text string")
+    bm25.write_index(items, f"{tmp_path}/i", bm25.FTS)
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 4)
+    monkeypatch.setattr(bm25, "ITEM_ROWS", 16)
+    key = lambda r: (r.query_id, r.item_id, r["rank"], round(r.score, 9))
+    want = sorted(map(key, ranked(bm25.scores(q, items, bm25.FTS), ["query_id"], 5).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(key, bm25.best_of_index(q, f"{tmp_path}/i", 5, bm25.FTS).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert bm25.best_of_index(frame(spark, [("p", "x_y")], "query_id string, text string"), f"{tmp_path}/i", 5, bm25.FTS) is None
+    assert bm25.best_of_index(q, f"{tmp_path}/i", 0, bm25.FTS).count() == 0
